@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import distinctiveness, match_groups, rank_fusion
+from colophon.llm import distinctiveness, match_groups, rank_fusion, site_lines
 from colophon.sources.tables import table
 
 QUERIES: dict = {}
@@ -116,3 +116,42 @@ WITH RECURSIVE links AS (
     WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT a AS keyword, least(a, min(b)) AS group_key FROM reach GROUP BY a"""
+
+
+# 6. Lines repeated across one site's documents
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that recurs too often on its issue's host."""
+    issues = table(spark, sf_dir, "issues").select("id", "source_url", "full_text_plain")
+    found = site_lines.recurring_lines(issues, "id", "source_url", "full_text_plain")
+    return found.select(F.col("doc_id").alias("issue_id"), "line_no")
+
+
+@query
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each issue's plain text without these lines."""
+    issues = table(spark, sf_dir, "issues").select("id", "source_url", "full_text_plain")
+    clean = site_lines.without_recurring_lines(issues, "id", "source_url", "full_text_plain")
+    return clean.select(F.col("id").alias("issue_id"), F.col("full_text_plain").alias("clean_text"))
+
+
+_LINES_SQL = r"""
+WITH docs AS (SELECT id, full_text_plain,
+    nullif(lower(regexp_replace(regexp_replace(regexp_extract(trim(source_url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '') AS host
+    FROM issues WHERE full_text_plain IS NOT NULL),
+split_ AS (SELECT id, host, string_split(full_text_plain, chr(10)) AS ls FROM docs),
+lines AS (SELECT id, host, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS line_no FROM split_),
+forms AS (SELECT id, host, line, line_no, regexp_replace(trim(regexp_replace(lower(line), '[ 	]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g') AS form FROM lines),
+hosts AS (SELECT host, count(*) AS n FROM docs WHERE host IS NOT NULL GROUP BY 1),
+often AS (SELECT host, form, count(DISTINCT id) AS d FROM forms WHERE host IS NOT NULL AND form <> '' GROUP BY 1, 2),
+gone AS (SELECT host, form FROM often JOIN hosts USING (host) WHERE d >= 5 AND d >= 0.1 * n)
+"""
+ORACLES["p6_found"] = _LINES_SQL + "SELECT id AS issue_id, CAST(line_no AS BIGINT) AS line_no FROM forms SEMI JOIN gone USING (host, form)"
+ORACLES["p6_clean"] = (
+    _LINES_SQL
+    + """, kept AS (SELECT id, string_agg(line, chr(10) ORDER BY line_no) AS clean_text FROM forms ANTI JOIN gone USING (host, form) GROUP BY id)
+SELECT i.id AS issue_id, CASE WHEN i.full_text_plain IS NULL THEN NULL ELSE coalesce(k.clean_text, '') END AS clean_text
+FROM issues i LEFT JOIN kept k ON i.id = k.id"""
+)
