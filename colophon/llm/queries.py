@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import distinctiveness, match_groups, rank_fusion, site_lines
+from colophon.llm import distinctiveness, match_groups, page_wrapper, rank_fusion, site_lines
 from colophon.sources.tables import table
 
 QUERIES: dict = {}
@@ -155,3 +155,26 @@ ORACLES["p6_clean"] = (
 SELECT i.id AS issue_id, CASE WHEN i.full_text_plain IS NULL THEN NULL ELSE coalesce(k.clean_text, '') END AS clean_text
 FROM issues i LEFT JOIN kept k ON i.id = k.id"""
 )
+
+
+# 7. Page boilerplate mixed with main content
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawled = table(spark, sf_dir, "crawl_pages").select("url", "markdown")
+    issues = table(spark, sf_dir, "issues").select("id", "source_url", "full_text_markdown")
+    return page_wrapper.page_rows(crawled, "page", "url", "url", "markdown").unionByName(
+        page_wrapper.page_rows(issues, "issue", "id", "source_url", "full_text_markdown")
+    )
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line outside the article of a page or issue."""
+    return page_wrapper.lines_outside(_pages(spark, sf_dir))
+
+
+@query
+def p7_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of each page and issue."""
+    return page_wrapper.articles(_pages(spark, sf_dir))
