@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import distinctiveness, match_groups, page_wrapper, rank_fusion, site_lines
+from colophon.llm import distinctiveness, markup, match_groups, page_wrapper, rank_fusion, site_lines, truncation
 from colophon.sources.tables import table
 
 QUERIES: dict = {}
@@ -178,3 +178,43 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of each page and issue."""
     return page_wrapper.articles(_pages(spark, sf_dir))
+
+
+# 5. Markup residue in text documents
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "issue_chunks").select(F.lit("chunk").alias("record_kind"), F.col("id").alias("record_id"), F.col("chunk_text").alias("text"))
+    issues = table(spark, sf_dir, "issues").select(F.lit("issue").alias("record_kind"), F.col("id").alias("record_id"), F.col("full_text_markdown").alias("text"))
+    return chunks.unionByName(issues)
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk and issue whose text holds markup."""
+    return markup.records_with_markup(_records(spark, sf_dir))
+
+
+@query
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk and issue as clean text."""
+    return _records(spark, sf_dir).select("record_kind", "record_id", markup.cleaned(F.col("text")).alias("clean_text"))
+
+
+# 10. Text cut off by field limits
+
+
+def _endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated_texts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source")
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose text was cut off."""
+    return _endings(spark, sf_dir).where("truncated").select("doc_id")
+
+
+@query
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.truncation_shares(_endings(spark, sf_dir))
