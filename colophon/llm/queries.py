@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import distinctiveness, markup, match_groups, page_wrapper, rank_fusion, site_lines, truncation
+from colophon.llm import distinctiveness, markup, match_groups, mixing, packing, page_wrapper, rank_fusion, site_lines, truncation
 from colophon.sources.tables import table
 
 QUERIES: dict = {}
@@ -218,3 +218,45 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source truncates."""
     return truncation.truncation_shares(_endings(spark, sf_dir))
+
+
+# 8. Filling fixed-capacity containers
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = table(spark, sf_dir, "pack_specs").select("spec_id", "capacity_tokens").collect()  # a fixed table of four rows
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(documents, "doc_id", "text", [(r[0], r[1]) for r in specs])
+
+
+@query
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of its parts, for every capacity."""
+    return _packed(spark, sf_dir)
+
+
+@query
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(_packed(spark, sf_dir))
+
+
+# 9. Mixing sources to target weights
+
+
+def _mixed(spark: SparkSession, sf_dir: str):
+    targets = [(r[0], r[1], r[2]) for r in table(spark, sf_dir, "mix_targets").select("source", "target_share", "max_repeats").collect()]  # a fixed table of twelve rows
+    sized = mixing.sized_documents(table(spark, sf_dir, "documents"), "doc_id", "source", "text", [t[0] for t in targets])
+    return mixing.mixture(sized, targets)
+
+
+@query
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture, a row per use."""
+    return _mixed(spark, sf_dir)[0]
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.share_report(*_mixed(spark, sf_dir))
