@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from colophon.operators.skew import HOT_ROWS, hot_keys, skew_join
 
@@ -96,9 +98,17 @@ class EndingModel:
     intercept: float
 
     def probability(self, slots: Column) -> Column:
-        weights = F.lit(list(self.weights)).cast("array<double>")
-        total = F.aggregate(slots, F.lit(float(self.intercept)), lambda s, i: s + F.get(weights, i))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+        """Probability of a cut, in Arrow batches of hashed slots; no text goes to Python."""
+        weights, intercept = np.array(self.weights), self.intercept
+
+        @F.pandas_udf(DoubleType())
+        def score(batch: pd.Series) -> pd.Series:
+            if batch.empty:
+                return pd.Series([], dtype="float64")
+            total = weights[np.vstack(batch.to_numpy())].sum(1) + intercept
+            return pd.Series(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))))
+
+        return score(slots)
 
 
 def fit_logistic(slots: np.ndarray, labels: np.ndarray, bits: int = BITS, penalty: float = 0.3, rounds: int = 300, least_rows: int = 5) -> tuple[np.ndarray, float]:
