@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("messages",)
-FLAGSHIP = "p1_found"
+MODULES = ("messages", "archive", "search")
+FLAGSHIP = "hybrid_search"
 
 
 def _modules():
