@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("messages", "archive", "search", "topics")
+MODULES = ("messages", "archive", "search", "topics", "ingest", "jobs")
 FLAGSHIP = "hybrid_search"
 
 
