@@ -16,7 +16,7 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine in [-1, 1]; 0 if the lengths differ or a vector is null, empty or zero."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     value = F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)), F.lit(0.0))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0))))
 
 
 def vector(values: Sequence[float]) -> Column:

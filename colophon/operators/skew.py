@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 HOT_ROWS = 200_000
 MAX_HOT = 1024
@@ -84,7 +85,7 @@ def rank_within(
     if not hot:
         return scored.withColumn(out, F.rank().over(plain).cast("long")).unionByName(blank)
     spark = df.sparkSession
-    schema = scored.select(*group).schema.add("_cuts", f"array<{dict(scored.dtypes)[score]}>")
+    schema = scored.select(*group).schema.add("_cuts", ArrayType(scored.schema[score].dataType))
     cuts = F.broadcast(spark.createDataFrame([[*[r[g] for g in group], sorted(set(r["_cuts"]))] for r in hot], schema))
     counts = scored.join(cuts, group).groupBy(*group, score, "_cuts").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(score)))).drop("_cuts")

@@ -21,9 +21,13 @@ ATTEMPTS, BASE_MS, JITTER_MS, DEFER_SECONDS = 5, 25, 25, 60
 
 def events(spark: SparkSession, sf_dir: str, name: str = "events", files_per_batch: int = 20) -> DataFrame:
     """The table ``name`` as a stream of its files; times without zone become instants, as watermarks need them."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true")
-    rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        rows = reader.parquet(path)
+    else:  # a stream reads folders: the one above, and of it only this file
+        rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})
 
 
