@@ -149,7 +149,7 @@ _HTML_STEPS = (
     (re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*|/)?>|<!DOCTYPE[^>]*>", re.I), ""),
 )
 _WIKI_STEPS = (
-    (re.compile(r"^\{\|[^\n]*$|^\|\}[ \t]*$|^\|-[^\n]*$", re.M), ""),
+    (re.compile(r"^\{\|[^\n]*$\n?|^\|\}[ \t]*$|^\|-[^\n|]*$\n?", re.M), ""),
     (re.compile(r"\{\{[^{}]*\}\}"), ""),
     (re.compile(r"^(={1,6})(?!=)[ \t]*([^\n]*?[^=\s])[ \t]*\1[ \t]*$", re.M), lambda m: _level(str(len(m[1])), m[2])),
     (re.compile(r"\[\[(?:File|Image|Category):[^\]\n|]*(?:\|[^\]\n|]*)*?\|?([^\]\n|]*)\]\]", re.I), r"\1"),
@@ -178,7 +178,7 @@ _MARKDOWN_STEPS = (
     (re.compile(r"\[\^[^\]\s]+\]"), ""),
     (re.compile(r"!?\[([^\]\[\n]*)\]\([^()\s]*(?:\s+[\"'][^\"'\n]*[\"'])?\)"), r"\1"),
     (re.compile(r"\[([^\]\[\n]+)\]\[[^\]\[\n]*\]"), r"\1"),
-    (re.compile(r"^[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+(?:[ \t]*:?-{3,}:?)?[ \t]*$", re.M), ""),
+    (re.compile(r"^[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+(?:[ \t]*:?-{3,}:?)?[ \t]*$\n?", re.M), ""),
     (re.compile(r"^[ \t]*\|[ \t]*([^\n]*?)[ \t]*\|[ \t]*$", re.M), r"\1"),
     (re.compile(r"^[ ]{0,3}(?:-{3,}|\*{3,}|_{3,})[ \t]*$", re.M), ""),
     (re.compile(r"^([ \t]*)[*+][ \t]+(?=\S)", re.M), r"\1- "),

@@ -21,6 +21,8 @@ MARKS = ("…", "...", " [...]", "… [read more]", " … Continue reading →",
 _MARK = r"(?i)(\s*(?:…|\.\.\.)?\s*(?:\[read more\]|read more|continue reading)\s*→?|\s*\[(?:…|\.\.\.)\]|\s*…|\s*\.\.\.|�+)$"
 #: Signs after which a text may end; artificial cuts that happen to end in one are no positives.
 _ENDS = r"[.!?:\"”»)\]}`>]$"
+#: Artificial cuts of each text of the sample.
+CUTS = 4
 #: Widest last line that is looked at word for word.
 _SHORT = 60
 
@@ -145,13 +147,14 @@ def _prior_shift(scores: np.ndarray, trained: float) -> float:
 
 
 def _artificial_cuts(texts: DataFrame) -> DataFrame:
-    """The texts cut short: two of three at one of their source's limits if they are longer, else anywhere; one of three
-    gets a mark of omission.  Cuts after the end of a sentence or block are left out."""
-    roll = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n))
+    """The texts cut short, ``CUTS`` times each: two of three at one of their source's limits if they are longer, else
+    anywhere; one of three gets a mark of omission.  Cuts after the end of a sentence or block are left out."""
+    texts = texts.withColumn("_cut", F.explode(F.sequence(F.lit(1), F.lit(CUTS))))
+    roll = lambda salt, n: F.pmod(F.xxhash64("doc_id", "_cut", F.lit(salt)), F.lit(n))
     usable = F.filter("limits", lambda x: x < F.col("length") - 1)
     at_limit = (F.size(usable) > 0) & (roll("kind", 3) > 0)
-    anywhere = F.lit(30) + F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.col("length") - 40, F.lit(1)))
-    chosen = F.get(usable, F.pmod(F.xxhash64("doc_id", F.lit("limit")), F.greatest(F.size(usable), F.lit(1))).cast("int"))
+    anywhere = F.lit(30) + F.pmod(F.xxhash64("doc_id", "_cut", F.lit("place")), F.greatest(F.col("length") - 40, F.lit(1)))
+    chosen = F.get(usable, F.pmod(F.xxhash64("doc_id", "_cut", F.lit("limit")), F.greatest(F.size(usable), F.lit(1))).cast("int"))
     place = F.when(at_limit, chosen).otherwise(anywhere)
     marks = F.array(*[F.lit(m) for m in MARKS])
     mark = F.when(roll("marked", 3) == 0, F.get(marks, roll("mark", len(MARKS)).cast("int"))).otherwise(F.lit(""))
