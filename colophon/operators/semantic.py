@@ -20,13 +20,14 @@ def top_chunks(chunks: DataFrame, key: str, embedding: str, query: Sequence[floa
     return scored.orderBy(F.col("score").desc(), F.col(key).asc()).limit(top)
 
 
-def collapsed(chunks: DataFrame, document: str, key: str, floor: float = D.CHUNK_FLOOR, extra: Sequence[str] = ()) -> DataFrame:
-    """(document, top_score, top_chunk, chunk_count, semantic_rank) of chunks with at least ``floor``; ``extra`` columns come
-    from the best chunk."""
+def collapsed(chunks: DataFrame, document: str, key: str, floor: float = D.CHUNK_FLOOR, extra: Sequence[str] = (), top: int = 500) -> DataFrame:
+    """(document, top_score, top_chunk, chunk_count, semantic_rank) of the ``top`` documents by their best chunk of at least
+    ``floor``; ``extra`` columns come from that chunk."""
     good = chunks.where(F.col("score") >= floor)
     order = F.struct(F.col("score"), F.col(key))
     best = [F.max_by(F.col(c), order).alias(f"top_{c}") for c in extra]
     grouped = good.groupBy(document).agg(F.max("score").alias("top_score"), F.max_by(F.col(key), order).alias("top_chunk"), F.count(F.lit(1)).alias("chunk_count"), *best)
+    grouped = grouped.orderBy(F.col("top_score").desc(), F.col(document).asc()).limit(top)
     return grouped.withColumn("semantic_rank", F.row_number().over(W.orderBy(F.col("top_score").desc(), F.col(document).asc())))
 
 

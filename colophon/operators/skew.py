@@ -79,14 +79,16 @@ def rank_within(
     order = F.col(score).asc() if ascending else F.col(score).desc()
     plain = W.partitionBy(*group).orderBy(order)
     scored, blank = df.where(F.col(score).isNotNull()), df.where(F.col(score).isNull()).withColumn(out, F.lit(None).cast("long"))
-    quantiles = F.percentile_approx(score, F.array(*[F.lit(i / splits) for i in range(1, splits)]), F.lit(10_000))
-    per_group = scored.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"), quantiles.alias("_cuts"))
-    hot = per_group.where(F.col("_rows") >= hot_rows).orderBy(F.desc("_rows"), *group).limit(max_hot).collect()
+    sizes = scored.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= hot_rows)
+    hot = sizes.orderBy(F.desc("_rows"), *group).limit(max_hot).select(*group).dropna().collect()
     if not hot:
         return scored.withColumn(out, F.rank().over(plain).cast("long")).unionByName(blank)
     spark = df.sparkSession
+    quantiles = F.percentile_approx(score, F.array(*[F.lit(i / splits) for i in range(1, splits)]), F.lit(10_000))
+    wanted = F.broadcast(spark.createDataFrame(hot, scored.select(*group).schema))
+    found = scored.join(wanted, group, "left_semi").groupBy(*group).agg(quantiles.alias("_cuts")).collect()
     schema = scored.select(*group).schema.add("_cuts", ArrayType(scored.schema[score].dataType))
-    cuts = F.broadcast(spark.createDataFrame([[*[r[g] for g in group], sorted(set(r["_cuts"]))] for r in hot], schema))
+    cuts = F.broadcast(spark.createDataFrame([[*[r[g] for g in group], sorted(set(r["_cuts"]))] for r in found], schema))
     counts = scored.join(cuts, group).groupBy(*group, score, "_cuts").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(score)))).drop("_cuts")
     ranges = counts.groupBy(*group, "_range").agg(F.sum("_n").alias("_rows"))

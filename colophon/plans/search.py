@@ -135,7 +135,7 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add(
     f"""WITH s AS (SELECT vec_id, vec_id // 4 AS document, round({_COSINE_SQL}, 6) AS score FROM embeddings),
 g AS (SELECT document, max(score) AS top_score, arg_max(vec_id, score + vec_id * 1e-12) AS top_chunk, count(*) AS chunk_count FROM s WHERE score >= 0.05 GROUP BY 1)
-SELECT document, top_score, top_chunk, chunk_count, row_number() OVER (ORDER BY top_score DESC, document) AS semantic_rank FROM g"""
+SELECT document, top_score, top_chunk, chunk_count, row_number() OVER (ORDER BY top_score DESC, document) AS semantic_rank FROM g ORDER BY top_score DESC, document LIMIT 500"""
 )
 def chunk_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks collapsed to documents of four, each with its best chunk."""
