@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from colophon.llm import tokens
 from colophon.session import cut
 
-#: Hash buckets per source and size class; a task sorts one of them at a time.
+#: Hash buckets per source and size class at least; a task sorts one of them at a time.
 BUCKETS = 16
+#: Documents of a source that call for one more bucket.
+PER_BUCKET = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -64,8 +66,10 @@ def mixture(sized: DataFrame, targets: list[tuple[str, float, int]], total_token
     """
     if len({s for s, _, _ in targets}) != len(targets):
         raise ValueError("a source has several targets")
-    totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).where(F.col("source").isin([s for s, _, _ in targets]))
-    available = {r["source"]: int(r["n"]) for r in totals.collect()}  # one row per target at most
+    totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).where(F.col("source").isin([s for s, _, _ in targets]))
+    counted = totals.collect()  # one row per target at most
+    available = {r["source"]: int(r["n"]) for r in counted}
+    buckets = max([buckets, *(-(-r["rows"] // PER_BUCKET) for r in counted)])
     plans = plan_mixture(targets, available, total_tokens, seed)
     spark = sized.sparkSession
     schema = "source string, copies double, offset double, max_repeats int"

@@ -203,7 +203,7 @@ def truncated_texts(documents: DataFrame, doc_id: str, text: str, source: str, s
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("_source"), F.col(source).alias("source"), F.col(text).alias("text"))
     rows = rows.withColumn("length", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     limits = length_limits(rows.where("length > 0").select("_source", "length"), "_source", "length")
-    per_source = limits.groupBy("_source").agg(F.slice(F.sort_array(F.collect_list("length")), 1, 256).alias("limits"))
+    per_source = limits.groupBy("_source").agg(F.sort_array(F.collect_list("length")).alias("limits"))
     hot = hot_keys(rows, ["_source"], hot_rows)
     marked = skew_join(rows, per_source, ["_source"], "left", ["doc_id"], hot)
     marked = marked.withColumn("limits", F.coalesce("limits", F.array().cast("array<bigint>")))
