@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from colophon.operators.skew import HOT_ROWS, hot_keys, skew_join
+from colophon.operators.skew import HOT_ROWS, MAX_HOT, skew_join
+from colophon.session import cut
 
 BITS = 14
 #: Rows at most that the classifier is fitted on; a fixed hash of the identifier chooses them.
@@ -21,20 +22,21 @@ MARKS = ("…", "...", " [...]", "… [read more]", " … Continue reading →",
 _MARK = r"(?i)(\s*(?:…|\.\.\.)?\s*(?:\[read more\]|read more|continue reading)\s*→?|\s*\[(?:…|\.\.\.)\]|\s*…|\s*\.\.\.|�+)$"
 #: Signs after which a text may end; artificial cuts that happen to end in one are no positives.
 _ENDS = r"[.!?:\"”»)\]}`>]$"
+#: Tasks that the sample is spread over.
+SPREAD = 24
 #: Artificial cuts of each text of the sample.
 CUTS = 4
 #: Widest last line that is looked at word for word.
 _SHORT = 60
 
 
-def length_limits(texts: DataFrame, group: str, length: str, least_rows: int = 5, factor: float = 4.0) -> DataFrame:
-    """(group, length) at which more texts end than lengths nearby let expect: within 3 of it at least ``factor`` times as
+def length_limits(counts: DataFrame, group: str, length: str, n: str, least_rows: int = 5, factor: float = 4.0) -> DataFrame:
+    """(group, length), of (group, length, n), at which more texts end than lengths nearby let expect: within 3 of it at least ``factor`` times as
     many per length as 13 to 60 away, and ``least_rows`` at least."""
-    counts = texts.groupBy(group, length).agg(F.count(F.lit(1)).alias("n"))
     near = W.partitionBy(group).orderBy(length).rangeBetween(-3, 3)
     far = W.partitionBy(group).orderBy(length).rangeBetween(-60, 60)
     middle = W.partitionBy(group).orderBy(length).rangeBetween(-12, 12)
-    around = counts.select(group, length, F.sum("n").over(near).alias("near"), (F.sum("n").over(far) - F.sum("n").over(middle)).alias("far"))
+    around = counts.select(group, length, F.sum(n).over(near).alias("near"), (F.sum(n).over(far) - F.sum(n).over(middle)).alias("far"))
     return around.where((F.col("near") >= least_rows) & (F.col("near") / 7 >= F.lit(factor) * (F.col("far") + 1) / 96)).select(group, length)
 
 
@@ -47,8 +49,16 @@ def _bucket(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double") + 1)).cast("string")
 
 
-def with_slots(texts: DataFrame, bits: int = BITS) -> DataFrame:
-    """``texts`` (text, at_limit) with ``slots``: hashed categorical features of how each text ends.
+#: Names of the features and of the parts they are made of.
+FEATURES = (
+    "mark", "mark closing", "mark phrase", "closing3", "closing limit", "closing brief", "closing brief mark", "shape",
+    "shape limit", "head", "head closing", "fence", "fence shape", "open brief", "limit", "blank closing", "words closing",
+    "lead", "lead limit",
+)
+
+
+def with_endings(texts: DataFrame) -> DataFrame:
+    """``texts`` with short columns that say how each ``text`` ends, in place of the text.
 
     Steps build on one another, so that each piece of a text is cut out once.
     """
@@ -59,9 +69,10 @@ def with_slots(texts: DataFrame, bits: int = BITS) -> DataFrame:
             "_core": F.regexp_replace("_body", _MARK, ""),
             "_fence": (F.regexp_count(F.col("text"), F.lit(r"(?m)^\s*```")) % 2 == 1).cast("string"),
             "_blank": (F.length("text") != F.length("_body")).cast("string"),
+            "_empty": F.length("_body") == 0,
         }
     )
-    rows = rows.withColumn("_last", F.substring_index("_core", "\n", -1))
+    rows = rows.withColumn("_last", F.substring_index("_core", "\n", -1)).drop("text", "_body", "_core")
     count = lambda sign: F.length("_last") - F.length(F.replace(F.col("_last"), F.lit(sign), F.lit("")))
     brief = F.length("_last") <= _SHORT
     rows = rows.withColumns(
@@ -74,18 +85,17 @@ def with_slots(texts: DataFrame, bits: int = BITS) -> DataFrame:
             "_words": F.when(brief, _bucket(F.size(F.split("_last", " ")))).otherwise(F.lit("long")),
             "_lead": F.lower(F.regexp_extract("_last", r"^\s*(\w[^:.]{0,23}):\s", 1)),
             "_phrase": F.when(F.length("_last") <= 40, F.lower("_last")).otherwise(F.lit("long")),
-            "_limit": F.coalesce("at_limit", F.lit(False)).cast("string"),
         }
     )
-    rows = rows.withColumns({"_closing": F.regexp_extract("_tail", r"(.)$", 1), "_closing3": F.regexp_extract("_tail", r"(.{1,3})$", 1)})
-    parts = (
-        "mark", "mark closing", "mark phrase", "closing3", "closing limit", "closing brief", "closing brief mark", "shape",
-        "shape limit", "head", "head closing", "fence", "fence shape", "open brief", "limit", "blank closing", "words closing",
-        "lead", "lead limit",
-    )
-    values = [F.concat_ws("\u0001", F.lit(name), *[F.col(f"_{n}") for n in name.split()]) for name in parts]
-    made = [c for c in rows.columns if c not in texts.columns]
-    return rows.withColumn("slots", hashed(values, bits)).drop(*made)
+    closing = {"_closing": F.regexp_extract("_tail", r"(.)$", 1), "_closing3": F.regexp_extract("_tail", r"(.{1,3})$", 1)}
+    return rows.withColumns(closing).drop("_last", "_tail")
+
+
+def with_slots(endings: DataFrame, bits: int = BITS) -> DataFrame:
+    """``endings`` (:func:`with_endings`, and ``at_limit``) with ``slots``: the hashed features."""
+    rows = endings.withColumn("_limit", F.coalesce("at_limit", F.lit(False)).cast("string"))
+    values = [F.concat_ws("\u0001", F.lit(name), *[F.col(f"_{n}") for n in name.split()]) for name in FEATURES]
+    return rows.withColumn("slots", hashed(values, bits))
 
 
 def hashed(values: list[Column], bits: int = BITS) -> Column:
@@ -167,19 +177,21 @@ def _artificial_cuts(texts: DataFrame) -> DataFrame:
     return rows.where(inside).select("doc_id", F.concat("_head", "_mark").alias("text"), "at_limit")
 
 
-def fit(texts: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = BITS) -> EndingModel:
-    """Fit on at most ``sample_rows`` of ``texts`` (doc_id, text, length, at_limit, limits) and their artificial cuts.
+def sampled(texts: DataFrame, total: int, sample_rows: int) -> DataFrame:
+    """At most ``sample_rows`` of the ``total`` texts: those whose hash is small, spread over tasks again after the limit."""
+    part = min(1.0, 0.97 * sample_rows / max(total, 1)) if total > sample_rows else 1.0
+    chosen = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(part * (1 << 20)))
+    return chosen.limit(sample_rows).repartition(SPREAD, "doc_id")
+
+
+def fit(texts: DataFrame, bits: int = BITS) -> EndingModel:
+    """Fit on ``texts`` (doc_id, text, length, at_limit, limits), a bounded sample, and their artificial cuts.
 
-    The texts as they are count as intact at first; those that a fit takes for cut are left out
-    of the next, twice.
+    The texts as they are count as intact at first; those that a fit takes for cut are left out of the next, twice.
     """
-    total = texts.count()
-    part = min(1.0, sample_rows / max(total, 1))
-    chosen = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).limit(sample_rows)
-    whole = with_slots(chosen.select("text", "at_limit"), bits).select("slots")
-    broken = with_slots(_artificial_cuts(chosen).select("text", "at_limit"), bits).select("slots")
-    intact = np.array([r[0] for r in whole.collect()], dtype=np.int64)
-    cuts = np.array([r[0] for r in broken.collect()], dtype=np.int64)
+    slots = lambda rows: with_slots(with_endings(rows.select("text", "at_limit")), bits).select("slots").collect()
+    intact = np.array([r[0] for r in slots(texts)], dtype=np.int64)
+    cuts = np.array([r[0] for r in slots(_artificial_cuts(texts))], dtype=np.int64)
     if len(intact) == 0 or len(cuts) == 0:
         return EndingModel(tuple([0.0] * (1 << bits)), -30.0)
     w, b = fit_logistic(np.vstack([intact, cuts]), np.r_[np.zeros(len(intact)), np.ones(len(cuts))], bits)
@@ -196,23 +208,23 @@ def truncated_texts(documents: DataFrame, doc_id: str, text: str, source: str, s
     """(doc_id, source, probability, truncated) for every row of ``documents``.
 
     Lengths at which texts of a source pile up are found over all rows; the classifier is fitted on a bounded sample and
-    scores every row, by built-in functions only.  A text that opens a code block and doesn't close it is cut whatever its
-    score.  Null, empty and blank texts are whole.  Repeated rows stay repeated.
-    An empty table gives an empty result.
+    scores every row.  Only how a text ends leaves the scan, never the text.  A text that opens a code block and doesn't close
+    it is cut whatever its score.  Null, empty and blank texts are whole.  Repeated rows stay repeated.  An empty table gives
+    an empty result.
     """
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("_source"), F.col(source).alias("source"), F.col(text).alias("text"))
     rows = rows.withColumn("length", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    limits = length_limits(rows.where("length > 0").select("_source", "length"), "_source", "length")
-    per_source = limits.groupBy("_source").agg(F.sort_array(F.collect_list("length")).alias("limits"))
-    hot = hot_keys(rows, ["_source"], hot_rows)
-    marked = skew_join(rows, per_source, ["_source"], "left", ["doc_id"], hot)
-    marked = marked.withColumn("limits", F.coalesce("limits", F.array().cast("array<bigint>")))
-    marked = marked.withColumn("at_limit", F.array_contains("limits", F.col("length")))
-    model = fit(marked.where("length > 0").select("doc_id", "text", "length", "at_limit", "limits"), sample_rows)
-    scored = with_slots(marked).withColumn("probability", model.probability(F.col("slots")))
-    known = F.coalesce(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0, F.lit(False))
-    unclosed = F.regexp_count(F.col("text"), F.lit(r"(?m)^\s*```")) % 2 == 1
-    probability = F.when(known & unclosed, F.lit(1.0)).when(known, F.col("probability")).otherwise(F.lit(0.0))
+    counts = cut(rows.where("length > 0").groupBy("_source", "length").agg(F.count(F.lit(1)).alias("n")))
+    limits = length_limits(counts, "_source", "length", "n")
+    per_source = cut(limits.groupBy("_source").agg(F.sort_array(F.collect_list("length")).alias("limits")))
+    at_limit = F.array_contains(F.col("limits"), F.col("length"))
+    known = lambda frame: frame.withColumn("limits", F.coalesce("limits", F.array().cast("array<bigint>"))).withColumn("at_limit", at_limit)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    model = fit(known(sampled(rows.where("length > 0"), total, sample_rows).join(per_source, "_source", "left")))
+    hot = counts.groupBy("_source").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_rows).orderBy(F.desc("n"), "_source").limit(MAX_HOT).select("_source")
+    shaped = skew_join(with_endings(rows), per_source, ["_source"], "left", ["doc_id"], hot)
+    scored = with_slots(known(shaped)).withColumn("_score", model.probability(F.col("slots")))
+    probability = F.when(F.coalesce("_empty", F.lit(True)), F.lit(0.0)).when(F.col("_fence") == "true", F.lit(1.0)).otherwise(F.col("_score"))
     return scored.select("doc_id", "source", probability.alias("probability"), (probability >= 0.5).alias("truncated"))
 
 

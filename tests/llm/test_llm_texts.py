@@ -245,5 +245,6 @@ def test_logistic_regression_is_deterministic():
 def test_limits(spark):
     lengths = [("a", 500)] * 40 + [("a", n) for n in range(400, 600)] + [("b", n) for n in range(100, 400, 3)]
     rows = spark.createDataFrame(lengths, "source string, length long")
-    found = {(r.source, r.length) for r in truncation.length_limits(rows, "source", "length").collect()}
+    counts = rows.groupBy("source", "length").agg(F.count(F.lit(1)).alias("n"))
+    found = {(r.source, r.length) for r in truncation.length_limits(counts, "source", "length", "n").collect()}
     assert ("a", 500) in found and all(abs(n - 500) <= 3 and s == "a" for s, n in found)
