@@ -6,6 +6,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,17 +50,16 @@ def pieces(size: int, capacity: int) -> list[tuple[int, int]]:
     return [(at, min(capacity, size - at)) for at in range(0, size, capacity)] or [(0, 0)]
 
 
-def _pack(specs: Sequence[tuple[int, int]], text: str, ranks: str, windows: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack(specs: Sequence[tuple[int, int]], ranks: str, windows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         packers = {spec: Packer(capacity, windows) for spec, capacity in specs}
         fill: dict[tuple[int, int], int] = {}
-        columns = ["spec_id", "part", "window", "doc_id", "piece", "first_token", "n_tokens", "leftover"]
         for batch in batches:
             rows = []
-            for doc_id, value in zip(batch["doc_id"], batch[text]):
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 size = tokens.count_tokens(value, ranks)
                 for spec, capacity in specs:
                     for number, (first, n) in enumerate(pieces(size, capacity)):
@@ -70,14 +70,20 @@ def _pack(specs: Sequence[tuple[int, int]], text: str, ranks: str, windows: int)
                 for window in packer.closed:
                     del fill[spec, window]
                 packer.closed.clear()
-            yield _frame(rows, columns)
-        yield _frame([(spec, part, window, None, 0, 0, n, True) for (spec, window), n in fill.items()], columns)
+            yield _batch(rows)
+        yield _batch([(spec, part, window, None, 0, 0, n, True) for (spec, window), n in fill.items()])
 
     return run
 
 
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+_PLACED = "spec_id int, part int, window long, doc_id string, piece int, first_token long, n_tokens long, leftover boolean"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    fields = [f.split() for f in _PLACED.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 def _merge(capacities: dict[int, int], windows: int):
@@ -134,14 +140,14 @@ def pack(documents: DataFrame, doc_id: str, text: str, specs: Sequence[tuple[int
     capacities.
     """
     capacities = {int(s): int(c) for s, c in specs}
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "spec_id int, part int, window long, doc_id long, piece int, first_token long, n_tokens long, leftover boolean"
-    placed = cut(rows.mapInPandas(_pack(list(capacities.items()), "text", ranks, windows), schema))
+    kind = documents.schema[doc_id].dataType
+    rows = documents.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    placed = cut(rows.mapInArrow(_pack(list(capacities.items()), ranks, windows), _PLACED))
     route = _merged_leftovers(placed.where("leftover"), capacities, windows)
     items = placed.where("NOT leftover").drop("leftover").join(route, ["spec_id", "part", "window"], "left")
     name = F.format_string("%d-%06d-%09d", "spec_id", F.coalesce("to_part", "part"), F.coalesce("to_window", "window"))
     capacity = F.element_at(F.create_map(*[F.lit(x) for pair in capacities.items() for x in pair]), F.col("spec_id"))
-    return items.select("spec_id", capacity.alias("capacity_tokens"), name.alias("container_id"), "doc_id", "piece", "first_token", "n_tokens")
+    return items.select("spec_id", capacity.alias("capacity_tokens"), name.alias("container_id"), F.col("doc_id").cast(kind).alias("doc_id"), "piece", "first_token", "n_tokens")
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

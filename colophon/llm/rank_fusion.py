@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colophon.operators.skew import HOT_ROWS, rank_within
+from colophon.operators.skew import HOT_ROWS, MAX_HOT, rank_within, skew_join
 
 
 def at_least(k: int, n: int, x: Column) -> Column:
@@ -38,7 +38,8 @@ def aggregate_ranks(
     sizes = ranked.groupBy(query).agg(F.count(F.lit(1)).alias("_items"))
     for i, up in enumerate(scores.values()):
         ranked = rank_within(ranked, [query], f"_s{i}", f"_r{i}", ascending=not up, hot_rows=hot_rows)
-    ranked = ranked.join(sizes, query)
+    hot = sizes.where(F.col("_items") >= hot_rows).orderBy(F.desc("_items"), query).limit(MAX_HOT).select(query)
+    ranked = skew_join(ranked, sizes, [query], "inner", [item], hot)
     n = len(scores)
     shares = [F.coalesce(F.col(f"_r{i}") / F.col("_items"), F.lit(1.0)) for i in range(n)]
     ranked = ranked.withColumn("_sorted", F.array_sort(F.array(*shares)))

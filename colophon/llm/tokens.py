@@ -7,9 +7,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Rank file of a byte-level BPE, the same on every machine.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -51,13 +52,13 @@ def count_tokens(text: str | None, ranks: str = RANKS) -> int:
 
 
 def with_token_counts(rows: DataFrame, text: str, ranks: str = RANKS, name: str = "n_tokens") -> DataFrame:
-    """``rows`` with ``name`` in place of ``text``; the text itself doesn't come back from Python."""
-    kept = [f for f in rows.schema.fields if f.name != text]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{name}` long"])
+    """``rows`` with ``name`` in place of ``text``, in Arrow batches; the other columns pass as they are."""
+    kept = [f.name for f in rows.schema.fields if f.name != text]
+    schema = StructType([*(f for f in rows.schema.fields if f.name != text), StructField(name, LongType())])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [count_tokens(t, ranks) for t in batch[text]]
-            yield batch.drop(columns=[text]).assign(**{name: pd.Series(sizes, index=batch.index, dtype="int64")})
+            sizes = pa.array([count_tokens(t, ranks) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sizes], names=[*kept, name])
 
-    return rows.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text)).mapInPandas(count, schema)
+    return rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(count, schema)
