@@ -82,7 +82,7 @@ def stateful_claims(changes: DataFrame) -> DataFrame:
             for row in batch.sort_values(["changed_at", "attempts"], na_position="last").itertuples():
                 if row.status in allowed.get(status, set()):
                     status = row.status
-                    out.append((key[0], row.status, int(row.attempts or 0)))
+                    out.append((key[0], row.status, 0 if pd.isna(row.attempts) else int(row.attempts)))
         if status is not None:
             state.update((status,))
         yield pd.DataFrame(out, columns=["key", "status", "attempts"])
