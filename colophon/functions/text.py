@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,11 +28,35 @@ def words(raw: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(raw, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where lambdas would evaluate it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Array of the runs of ``n`` neighbouring tokens, joined by spaces."""
-    count = F.size(tokens) - (n - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    def runs(t: Column) -> Column:
+        count = F.greatest(F.size(t) - (n - 1), F.lit(0))
+        grams = F.slice(t, F.lit(1), count)
+        for j in range(1, n):
+            grams = F.zip_with(grams, F.slice(t, F.lit(1 + j), count), lambda a, b: F.concat(a, F.lit(" "), b))
+        return grams
+
+    return let(tokens, runs)
+
+
+def count_run(tokens: Column, run: Sequence[str]) -> Column:
+    """How often the words of ``run`` stand in a row among ``tokens``."""
+    if len(run) == 1:
+        return count_term(tokens, F.lit(run[0]))
+
+    def count(t: Column) -> Column:
+        whole = lambda i: all_of(F.get(t, i + j) == word for j, word in enumerate(run))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(t) - len(run), F.lit(0)))
+        return F.when(all_of(F.array_contains(t, word) for word in run), F.size(F.filter(starts, whole))).otherwise(F.lit(0))
+
+    return let(tokens, count)
 
 
 def word_count(raw: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from colophon.functions import dictionaries as D
 from colophon.functions import text as T
-from colophon.functions.porter import porter_all
+from colophon.functions.porter import porter, porter_all
 
 
 def postings(documents: DataFrame, doc_id: str, fields: Sequence[str], stemmed: bool = False) -> DataFrame:
@@ -42,11 +42,9 @@ def bm25(
     tokens = {f: T.words(F.col(f)) for f in fields}
     if stemmed:
         tokens = {f: porter_all(c) for f, c in tokens.items()}
-        from colophon.functions.porter import porter
-
         groups = [[porter(w) for w in g] for g in groups]
     rows = documents.select(F.col(doc_id).alias("doc_id"), *[c.alias(f"_t_{f}") for f, c in tokens.items()])
-    frequency = lambda group: {f: _occurrences(F.col(f"_t_{f}"), group) for f in fields}
+    frequency = lambda group: {f: T.count_run(F.col(f"_t_{f}"), group) for f in fields}
     sums = [F.struct(*[c.alias(f) for f, c in frequency(g).items()]).alias(f"_q{i}") for i, g in enumerate(groups)]
     length = reduce(lambda a, b: a + b, [F.size(f"_t_{f}") for f in fields])
     counted = rows.select("doc_id", length.cast("double").alias("_length"), *sums)
@@ -67,13 +65,6 @@ def bm25(
     return counted.where(T.all_of(hit)).select("doc_id", score.alias("bm25"))
 
 
-def _occurrences(tokens: Column, group: Sequence[str]) -> Column:
-    """How often the words of ``group`` stand in a row."""
-    if len(group) == 1:
-        return T.count_term(tokens, F.lit(group[0]))
-    return F.size(F.filter(T.ngrams(tokens, len(group)), lambda g: g == " ".join(group)))
-
-
 def ranked(scores: DataFrame, top: int = 500) -> DataFrame:
     """The ``top`` documents with their ``rank``; ties go by identifier."""
     best = scores.orderBy(F.col("bm25").asc(), F.col("doc_id").asc()).limit(top)

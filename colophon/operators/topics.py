@@ -257,17 +257,22 @@ def similar_spellings(keywords: DataFrame, least: float = 0.85) -> DataFrame:
     Exact without comparing all: of each set only the rarest pairs that any partner must share are joined upon.
     """
     sets = keywords.select("keyword").distinct().withColumn("pairs", T.character_bigrams(F.lower("keyword")))
+    sets = sets.withColumn("mask", F.expr("aggregate(pairs, 0L, (m, p) -> m | shiftleft(1L, cast(pmod(xxhash64(p), 64) as int)))"))
     counts = sets.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
     each = sets.select("keyword", F.size("pairs").alias("size"), F.explode("pairs").alias("pair")).join(counts, "pair")
     place = F.row_number().over(W.partitionBy("keyword").orderBy("n", "pair"))
     needed = F.ceil(F.lit(least / (2 - least)) * F.col("size") - 1e-9)  # common pairs with the smallest partner allowed
-    prefix = each.withColumn("place", place).where(F.col("place") <= F.col("size") - needed + 1).select("keyword", "pair", "size")
-    other = prefix.select(F.col("keyword").alias("b"), "pair", F.col("size").alias("size_b"))
-    close = (F.col("size_b") >= F.col("size") * (least / (2 - least)) - 1e-9) & (F.col("size") >= F.col("size_b") * (least / (2 - least)) - 1e-9)
-    candidates = prefix.withColumnRenamed("keyword", "a").join(other, "pair").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    left, right = sets.select(F.col("keyword").alias("a"), F.col("pairs").alias("pa")), sets.select(F.col("keyword").alias("b"), F.col("pairs").alias("pb"))
-    scored = candidates.join(left, "a").join(right, "b").withColumn("dice", T.dice(F.col("pa"), F.col("pb")))
-    return scored.where(F.col("dice") >= least).select("a", "b", "dice")
+    prefix = each.withColumn("place", place).where(F.col("place") <= F.col("size") - needed + 1)
+    prefix = prefix.join(sets, "keyword").select(F.col("keyword").alias("a"), "pair", F.col("place").alias("at_a"), F.col("size").alias("size_a"), F.col("pairs").alias("pa"), F.col("mask").alias("mask_a"))
+    other = prefix.select(F.col("a").alias("b"), "pair", F.col("at_a").alias("at_b"), F.col("size_a").alias("size_b"), F.col("pa").alias("pb"), F.col("mask_a").alias("mask_b"))
+    shared = F.lit(least / 2) * (F.col("size_a") + F.col("size_b")) - 1e-9  # common pairs that reach the coefficient
+    possible = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))  # if this is the first common one
+    candidates = prefix.join(other, "pair").where((F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= shared) & (possible >= shared))
+    # Each bit of one mask that the other lacks is a pair that isn't common.
+    alone = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    candidates = candidates.where((F.col("size_a") - alone("mask_a", "mask_b") >= shared) & (F.col("size_b") - alone("mask_b", "mask_a") >= shared))
+    scored = candidates.select("a", "b", T.dice(F.col("pa"), F.col("pb")).alias("dice"))
+    return scored.where(F.col("dice") >= least).distinct()
 
 
 def clustered(corpus: DataFrame, aliases: DataFrame | None = None, least: float = 0.85, distinct_issues: DataFrame | None = None) -> DataFrame:
