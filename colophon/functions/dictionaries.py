@@ -16,14 +16,14 @@ SNIPPET_LONG, SNIPPET_SHORT, SNIPPET_TOP = 400, 150, 3
 
 # Operators and sections of the query language.
 OPERATORS = ("before", "after", "year", "issue", "section", "topic")
-SECTIONS = ("lead_essay", "signposts", "worth_your_time", "lens", "book", "postcard", "fluxers", "other")
+SECTIONS = ("lead_essay", "signposts", "worth_your_time", "lens", "book", "postcard", "more_from", "other")
 SECTION_TITLES = {
     "signposts": r"signpost",
     "worth_your_time": r"worth\s+your\s+time",
     "lens": r"lens\s+of\s+the\s+week",
     "book": r"book\s+(for|of)\s+your",
     "postcard": r"postcard\s+from\s+the\s+future",
-    "fluxers": r"more\s+from\s+flux",
+    "more_from": r"^\W*more\s+from\s",
 }
 
 # Lengths of chunks in characters.

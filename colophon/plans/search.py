@@ -250,7 +250,7 @@ def year_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SECTION_SQL = r""", labelled AS (SELECT f.query_id, f.issue_id, f.published_at, f.rank, coalesce(c.section, 'other') AS section FROM final f
-    LEFT JOIN (SELECT issue_id, arg_min(CASE WHEN lower(trim(section_label)) = 'title_summary' THEN 'lead_essay' WHEN regexp_replace(lower(trim(section_label)), '\s+', '_', 'g') IN ('lead_essay', 'signposts', 'worth_your_time', 'lens', 'book', 'postcard', 'fluxers', 'other') THEN regexp_replace(lower(trim(section_label)), '\s+', '_', 'g')
+    LEFT JOIN (SELECT issue_id, arg_min(CASE WHEN lower(trim(section_label)) = 'title_summary' THEN 'lead_essay' WHEN regexp_replace(lower(trim(section_label)), '\s+', '_', 'g') IN ('lead_essay', 'signposts', 'worth_your_time', 'lens', 'book', 'postcard', 'more_from', 'other') THEN regexp_replace(lower(trim(section_label)), '\s+', '_', 'g')
         WHEN regexp_extract(lower(trim(section_label)), '^([a-z]+)', 1) IN ('lens', 'book', 'postcard', 'signposts') THEN regexp_extract(lower(trim(section_label)), '^([a-z]+)', 1) ELSE 'other' END, (chunk_index, id)) AS section
                FROM issue_chunks GROUP BY 1) c ON c.issue_id = f.issue_id)
 """

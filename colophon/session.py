@@ -29,11 +29,14 @@ def get_session(app: str = "colophon", master: str | None = None, **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where it is unset, a folder of this machine (tests)."""
+    """Use the shared folder of ``spark.checkpoint.dir``; where it is unset, a folder of this machine, in local mode only."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colophon-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="colophon-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
