@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from colophon.functions import dictionaries as D
 from colophon.functions import text as T
+from colophon.operators.fusion import snippet_section
 
 # Lines of a page that say something about it.
 _METADATA_LINE = r"(?i)^((Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+\d|\d+\s*Share$|Share\s*this|Subscribe|(Share|Like|Comment|Reply)$)"
@@ -155,6 +156,17 @@ def sections(rows: DataFrame, doc_id: str = "id", markdown: str = "full_text_mar
     return rows.select(F.col(doc_id).alias("k"), F.col(markdown).alias("m")).mapInPandas(run, "issue_id string, position int, section_type string, title string, characters int")
 
 
+def snippet_sections(rows: DataFrame, doc_id: str, snippet: str, markdown: str) -> DataFrame:
+    """(issue_id, section_type): the section of its document that each snippet comes from, null if none."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(k, snippet_section(s, parse_sections(m or ""))) for k, s, m in zip(batch["k"], batch["s"], batch["m"])]
+            yield pd.DataFrame(out, columns=["issue_id", "section_type"])
+
+    picked = rows.select(F.col(doc_id).alias("k"), F.col(snippet).alias("s"), F.col(markdown).alias("m"))
+    return picked.mapInPandas(run, "issue_id string, section_type string")
+
+
 def duplicate_decisions(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """(id, duplicate_of, reason, unchanged): the existing document that each incoming one repeats, found by address, else by
     content hash, else by number and date of an active one; the first by identifier among several."""

@@ -153,6 +153,27 @@ def replaced_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserts.replaced(topics, fresh.join(first, "issue_id", "left_semi"), "issue_id")
 
 
+_FENCE_SQL = """
+WITH seen AS (SELECT keyword, coalesce(doc_frequency, 0) AS version FROM corpus_topics), now_ AS (SELECT keyword, coalesce(doc_frequency, 0) + CASE WHEN burst_score > 4 THEN 1 ELSE 0 END AS version FROM corpus_topics),
+stable AS (SELECT keyword FROM seen SEMI JOIN now_ USING (keyword, version)), e AS (SELECT DISTINCT keyword_a, keyword_b, 'old' AS state FROM topic_similarity),
+f AS (SELECT DISTINCT keyword_a, keyword_b, 'fresh' AS state FROM topic_similarity WHERE blended >= 0.6 AND NOT isnan(blended))
+SELECT * FROM e WHERE NOT (keyword_a IN (SELECT keyword FROM stable) AND keyword_b IN (SELECT keyword FROM stable))
+UNION ALL SELECT * FROM f WHERE keyword_a IN (SELECT keyword FROM stable) AND keyword_b IN (SELECT keyword FROM stable)"""
+
+
+@Q.add(_FENCE_SQL)
+def fenced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity edges after an incremental rebuild: only those whose ends didn't change meanwhile are replaced."""
+    corpus = table(spark, sf_dir, "corpus_topics")
+    version = F.coalesce("doc_frequency", F.lit(0))
+    seen = corpus.select("keyword", version.alias("version"))
+    now = corpus.select("keyword", (version + F.when(F.col("burst_score") > 4, 1).otherwise(0)).alias("version"))
+    pairs = table(spark, sf_dir, "topic_similarity")
+    edges = pairs.select("keyword_a", "keyword_b", F.lit("old").alias("state")).distinct()
+    fresh = pairs.where((F.col("blended") >= 0.6) & ~F.isnan("blended")).select("keyword_a", "keyword_b", F.lit("fresh").alias("state")).distinct()
+    return upserts.fenced_edges(edges, seen, now, fresh)
+
+
 @Q.add("SELECT keyword FROM issue_topics UNION SELECT keyword FROM corpus_topics")
 def keyword_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "issue_topics").select("keyword").union(table(spark, sf_dir, "corpus_topics").select("keyword")).distinct()

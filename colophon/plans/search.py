@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colophon.functions import dictionaries as D
 from colophon.functions import text as T
 from colophon.functions import vectors as V
-from colophon.operators import fusion, lexical, query_language, semantic
+from colophon.operators import fusion, ingest, lexical, query_language, semantic
 from colophon.plans.base import Queries
 from colophon.sources.tables import table
 
@@ -84,6 +84,14 @@ def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", lexical.highlight(F.col("full_text_plain"), ["compass"]).alias("highlight"))
 
 
+@Q.add()
+def highlighted_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section that each issue's highlight comes from."""
+    rows = _issues(spark, sf_dir, "full_text_plain", "full_text_markdown").where(F.array_contains(T.words(F.col("full_text_plain")), "compass"))
+    rows = rows.withColumn("highlight", lexical.highlight(F.col("full_text_plain"), ["compass"]))
+    return ingest.snippet_sections(rows, "id", "highlight", "full_text_markdown")
+
+
 @Q.add(
     r"""WITH d AS (SELECT concat_ws(' ', regexp_replace(coalesce(title, ''), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), regexp_replace(coalesce(headings, ''), '\[([^\]]*)\]\([^)]*\)', '\1', 'g')) AS s FROM issues WHERE status = 'active'),
 w AS (SELECT DISTINCT regexp_replace(unnest(regexp_split_to_array(lower(s), '[\s|,]+')), '[^a-z''-]', '', 'g') AS word FROM d)

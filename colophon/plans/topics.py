@@ -202,18 +202,20 @@ def domain_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q.add(
-    """WITH w AS (SELECT DISTINCT keyword FROM issue_topics WHERE keyword IS NOT NULL), v AS (SELECT keyword FROM w UNION SELECT 'most ' || keyword FROM w WHERE keyword < 'f'),
-c AS (SELECT keyword, issue_id FROM issue_topics WHERE suppression_reason IS NULL UNION SELECT 'most ' || keyword, issue_id FROM issue_topics WHERE suppression_reason IS NULL AND keyword < 'f' AND issue_id < 'iss-d'),
+    """WITH c AS (SELECT DISTINCT keyword, issue_id FROM issue_topics WHERE keyword IS NOT NULL AND suppression_reason IS NULL
+    UNION SELECT 'most ' || keyword, issue_id FROM issue_topics WHERE keyword IS NOT NULL AND suppression_reason IS NULL AND rank <= 8),
+v AS (SELECT DISTINCT keyword FROM c),
 p AS (SELECT a.keyword AS k, b.keyword AS l FROM v a JOIN v b ON a.keyword <> b.keyword AND contains(' ' || b.keyword || ' ', ' ' || a.keyword || ' ') WHERE contains(a.keyword, ' ')),
 n AS (SELECT k, l, count(*) AS n FROM p JOIN c ON c.keyword = k GROUP BY 1, 2), s AS (SELECT k, l, count(*) AS b FROM p JOIN c x ON x.keyword = k JOIN c y ON y.keyword = l AND y.issue_id = x.issue_id GROUP BY 1, 2)
 SELECT DISTINCT k AS keyword FROM n JOIN s USING (k, l) WHERE b >= 0.8 * n"""
 )
 def nested_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases to drop because a longer one covers their issues; longer ones are made for the query."""
-    rows = _topics(spark, sf_dir).where("keyword IS NOT NULL").select("keyword", "issue_id", "suppression_reason")
-    longer = rows.where("keyword < 'f' AND issue_id < 'iss-d'").withColumn("keyword", F.concat(F.lit("most "), "keyword"))
-    names = rows.select("keyword").union(rows.where("keyword < 'f'").select(F.concat(F.lit("most "), "keyword"))).distinct()
-    return topics.nested_fragments(names, rows.unionByName(longer))
+    """Phrases to drop because a longer one covers their issues.  The stored topics hold no longer ones; 'most x' stands for
+    them here, on the issues that rank x among their first eight."""
+    rows = _topics(spark, sf_dir).where("keyword IS NOT NULL AND suppression_reason IS NULL").select("keyword", "issue_id", "suppression_reason", "rank")
+    longer = rows.where("rank <= 8").withColumn("keyword", F.concat(F.lit("most "), "keyword"))
+    every = rows.unionByName(longer).drop("rank")
+    return topics.nested_fragments(every.select("keyword").distinct(), every)
 
 
 _PAIRS_SQL = "list_distinct(list_transform(generate_series(1, length(k) - 1), lambda i: substring(k, i, 2)))"
