@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,3 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it from there, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect garbage: only then does Spark remove the checkpoints and broadcasts of earlier rounds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
