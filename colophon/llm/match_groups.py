@@ -5,26 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.operators.skew import HOT_ROWS, MAX_HOT, skew_join
-from colophon.session import cut
+from colophon.operators.skew import HOT_ROWS, skew_join
+from colophon.session import cut, release
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _collapse(parents: DataFrame, hot_rows: int) -> DataFrame:
-    """Every component's root by pointer doubling; two components that chose each other get the smaller as root."""
+def _looked_up(left: DataFrame, right: DataFrame, key: str, spread: str, most: int, hot_rows: int, how: str = "inner") -> DataFrame:
+    """Join with ``right``, which holds each key once; ``most`` bounds the rows of a key of ``left``.  Only where that is
+    ``hot_rows`` or more, the hot keys are salted: plans stay small as long as nothing is hot."""
+    return skew_join(left, right, [key], how, [spread], hot_rows=hot_rows) if most >= hot_rows else left.join(right, key, how)
+
+
+def _collapse(parents: DataFrame, most: int, hot_rows: int) -> tuple[DataFrame, int]:
+    """(every component's root, most components of one root) by pointer doubling; two components that chose each other get
+    the smaller as root.  ``most`` bounds the components that chose the same one."""
     upper = lambda p: p.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-    step = skew_join(parents, upper(parents), ["p"], spread=["u"], hot_rows=hot_rows)
-    mutual = F.col("pp") == F.col("u")
-    parents = cut(step.select("u", F.when(mutual, F.least("u", "p")).otherwise(F.col("pp")).alias("p")))
-    while True:
-        step = skew_join(parents, upper(parents), ["p"], spread=["u"], hot_rows=hot_rows)
-        parents = cut(step.select("u", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
-        if parents.where("moved").isEmpty():
-            return parents.select("u", "p")
-        parents = parents.select("u", "p")
+    first = F.when(F.col("pp") == F.col("u"), F.least("u", "p")).otherwise(F.col("pp"))
+    moved = True
+    while moved:
+        step = _looked_up(parents, upper(parents), "p", "u", most, hot_rows)
+        target = F.col("pp") if first is None else first
+        parents = cut(step.select("u", target.alias("p"), (target != F.col("p")).alias("moved")))
+        children = parents.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.max("moved").alias("moved"))
+        row = children.agg(F.max("n").alias("most"), F.max("moved").alias("moved")).first()
+        most, moved, parents = row["most"] or 0, row["moved"] or first is not None, parents.select("u", "p")
+        first = None
+        release(parents.sparkSession)
+    return parents, most
 
 
 def linked_groups(
@@ -39,26 +49,30 @@ def linked_groups(
     pairs that chose each other.  Trees collapse by pointer doubling, edges are renamed to the roots, loops and repeats
     are dropped, until no edge is left: the components halve each round at least.  As the smallest component always
     becomes the root of its tree, the last root is the group's smallest member.  Edges and parents are cut into the
-    checkpoint folder each step.  Members of many links are salted.  No row is collected.
+    checkpoint folder each step.  Members of many links are salted.  The driver gets single numbers.
     """
     links = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
     if score is not None:
         links = links.where(~F.isnan(F.col(score).cast("double")) & (F.col(score) >= least_score))
     edges = cut(links.select(F.least(left, right).alias("u"), F.greatest(left, right).alias("v")).distinct())
-    rounds: list[DataFrame] = []
-    while rounds == [] or not edges.isEmpty():
+    degree = lambda: _both_ways(edges).groupBy("u").count().agg(F.max("count")).first()[0]
+    rounds: list[tuple[DataFrame, int]] = []
+    most = degree()
+    while most or not rounds:
         ends = F.struct(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        hooks = _both_ways(edges).groupBy("u").agg(F.min(ends).alias("e"), F.count(F.lit(1)).alias("degree"))
-        hooks = cut(hooks.select("u", F.when(F.col("e.a") == F.col("u"), F.col("e.b")).otherwise(F.col("e.a")).alias("p"), "degree"))
-        hot = hooks.where(F.col("degree") >= hot_rows).orderBy(F.desc("degree"), "u").limit(MAX_HOT).select("u")
-        roots = _collapse(hooks.select("u", "p"), hot_rows)
-        rounds.append(roots)
-        renamed = skew_join(edges, roots, ["u"], spread=["v"], hot=hot).select(F.col("p").alias("a"), F.col("v").alias("u"))
-        renamed = skew_join(renamed, roots, ["u"], spread=["a"], hot=hot).select("a", F.col("p").alias("b")).where("a != b")
+        hooks = _both_ways(edges).groupBy("u").agg(F.min(ends).alias("e"))
+        hooks = cut(hooks.select("u", F.when(F.col("e.a") == F.col("u"), F.col("e.b")).otherwise(F.col("e.a")).alias("p")))
+        roots, children = _collapse(hooks, most or 0, hot_rows)
+        rounds.append((roots, children or 0))
+        renamed = _looked_up(edges, roots, "u", "v", most or 0, hot_rows).select(F.col("p").alias("a"), "v")
+        renamed = _looked_up(renamed, roots.withColumnRenamed("u", "v"), "v", "a", most or 0, hot_rows).select("a", F.col("p").alias("b")).where("a != b")
         edges = cut(renamed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    groups = rounds.pop()
+        most = degree()
+        release(pairs.sparkSession)
+    groups, _ = rounds.pop()
     while rounds:
+        earlier, children = rounds.pop()
         later = groups.select(F.col("u").alias("p"), F.col("p").alias("final"))
-        earlier = skew_join(rounds.pop(), later, ["p"], "left", spread=["u"], hot_rows=hot_rows)
-        groups = earlier.select("u", F.coalesce("final", "p").alias("p"))
+        named = _looked_up(earlier, later, "p", "u", children, hot_rows, "left")
+        groups = cut(named.select("u", F.coalesce("final", "p").alias("p")))
     return groups.select(F.col("u").alias("member"), F.col("p").alias("group_key"))
