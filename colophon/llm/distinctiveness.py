@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colophon.operators.skew import HOT_ROWS, skew_join
+from colophon.operators.skew import HOT_ROWS, MAX_HOT, skew_join
+from colophon.session import cut
 
 
 def spelled(raw: Column) -> Column:
@@ -23,9 +24,10 @@ def term_weights(topics: DataFrame, record: str, term: str, score: str) -> DataF
     """
     rows = topics.select(F.col(record).alias("record"), spelled(F.col(term)).alias("term"), F.col(score).cast("double").alias("score"))
     rows = rows.where(F.col("record").isNotNull() & (F.col("term") != "") & (F.col("score") > 0) & ~F.isnan("score"))
-    rows = rows.groupBy("record", "term").agg((F.lit(1.0) / F.min("score")).alias("weight"))
-    tops = rows.groupBy("record").agg(F.sum("weight").alias("record_weight"), F.max("weight").alias("_top"))
-    rows = skew_join(rows, tops, ["record"], "inner", spread=["term"])
+    rows = cut(rows.groupBy("record", "term").agg((F.lit(1.0) / F.min("score")).alias("weight")))
+    tops = rows.groupBy("record").agg(F.sum("weight").alias("record_weight"), F.max("weight").alias("_top"), F.count(F.lit(1)).alias("_terms"))
+    hot = tops.where(F.col("_terms") >= HOT_ROWS).orderBy(F.desc("_terms"), "record").limit(MAX_HOT).select("record")
+    rows = skew_join(rows, tops, ["record"], "inner", ["term"], hot)
     return rows.select("record", "term", "weight", "record_weight", (F.col("weight") / F.col("_top")).alias("share"))
 
 
@@ -37,10 +39,11 @@ def pointwise_information(weights: DataFrame, wanted: DataFrame | None = None, e
     alone.  Marginal counts are always those of all records.  ``records`` is the number of records with the term.
     """
     terms = weights.groupBy("term").agg(F.sum("weight").alias("_term_weight"), F.count(F.lit(1)).alias("records"))
-    terms = terms.withColumn("_smoothed", F.pow("_term_weight", F.lit(exponent)))
+    terms = cut(terms.select("term", "records", F.pow("_term_weight", F.lit(exponent)).alias("_smoothed")))
     total = terms.agg(F.sum("_smoothed")).first()[0] or 1.0
+    hot = terms.where(F.col("records") >= hot_rows).orderBy(F.desc("records"), "term").limit(MAX_HOT).select("term")
     rows = weights if wanted is None else skew_join(weights, wanted.select("record").distinct(), ["record"], "left_semi", spread=["term"], hot_rows=hot_rows)
-    rows = skew_join(rows, terms, ["term"], "inner", spread=["record"], hot_rows=hot_rows)
+    rows = skew_join(rows, terms, ["term"], "inner", ["record"], hot)
     information = F.ln(F.col("weight") * F.lit(float(total)) / (F.col("record_weight") * F.col("_smoothed")))
     return rows.select("record", "term", "weight", "share", "records", F.greatest(F.lit(0.0), information).alias("ppmi"))
 
