@@ -1,8 +1,8 @@
-"""The article of a page without the furniture around it: wrapper induction over pages of one host.
+"""The article of a page without the furniture around it: labels that many pages of one host share, and fixed word lists.
 
-A page is a tree: its lines, and below a line made of links or other separated parts these parts.  Nodes that many pages of
-the host share are the host's wrapper; each page is aligned with the wrapper by simple tree matching.  Matched nodes are
-template.  What varies is content, but for the slots of template lines that announce a list or a value.
+A page is a flat list of labels: those of its lines, and of a line made of links or other separated parts those of the parts.
+Labels that many pages of the host share are the host's wrapper.  How often a label occurs and the word lists below decide;
+pages are not aligned as trees.  What varies is content, but for the slots of template lines that announce a list or a value.
 """
 
 from __future__ import annotations
@@ -148,8 +148,10 @@ def simple_tree_matching(a: tuple, b: tuple) -> tuple[int, list[tuple[tuple, tup
 
 
 def align(labels: list[int], wrapper: dict[int, int]) -> set[int]:
-    """The labels of a page that match its host's wrapper (label -> place): the page's tree is matched with the wrapper's
-    until a pass finds nothing more, as furniture blocks come in any order."""
+    """The labels of a page that are in its host's wrapper (label -> place).
+
+    Matching is repeated on what is left, as furniture blocks come in any order, so it finds every such label: the result is
+    the intersection of both sets, and neither order nor place changes it."""
     rest, found = [x for x in labels if x in wrapper], set()
     while rest:
         order = sorted(set(rest), key=wrapper.__getitem__)

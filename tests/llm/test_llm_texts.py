@@ -138,6 +138,12 @@ def test_simple_tree_matching():
     assert page_wrapper.align([3, 1, 2, 9], {1: 0, 2: 1, 3: 2}) == {1, 2, 3}
 
 
+@given(st.lists(st.integers(0, 12), max_size=20), st.permutations(range(2, 9)))
+def test_aligning_is_an_intersection(labels, order):
+    """As the README states: the order of the wrapper and of the page has no effect."""
+    assert page_wrapper.align(labels, {x: i for i, x in enumerate(order)}) == set(labels) & set(order)
+
+
 # Packing and mixing
 
 
