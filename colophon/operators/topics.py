@@ -157,6 +157,12 @@ def constructed(candidates: DataFrame, aliases: Mapping[str, str], denied: Seque
     return rows.withColumn("_p", place).where("canonical IS NULL OR _p = 1").drop("_p")
 
 
+def first_kept(candidates: DataFrame, top: int) -> DataFrame:
+    """The ``top`` best placed ``candidates`` of each document: the rules run along the places until so many are kept."""
+    number = F.row_number().over(W.partitionBy("doc_id").orderBy("place"))
+    return candidates.withColumn("_n", number).where(F.col("_n") <= top).drop("_n")
+
+
 def background_zipf(documents: DataFrame, text: str, least: int = 2) -> DataFrame:
     """(term, zipf): log10 of a word's occurrences in a billion words of ``documents``; an external table may replace it."""
     words = documents.select(F.explode(T.words(F.col(text), T.PHRASE_WORD)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))

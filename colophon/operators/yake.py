@@ -70,6 +70,25 @@ def _distance(a: str, b: str) -> float:
     return 1 - row[-1] / max(len(a), len(b), 1)
 
 
+def _bag(word: str) -> int:
+    """Bits of the letters and how often each stands in ``word``: a bit that another bag lacks costs an edit at least."""
+    bits, counts = 0, Counter()
+    for c in word:
+        place = ord(c) % 64
+        bits |= 1 << (place * 8 + min(counts[place], 7))
+        counts[place] += 1
+    return bits
+
+
+def _apart(a: str, bag_a: int, b: str, bag_b: int, same: float) -> bool:
+    """Whether two spellings are less alike than ``same``; the distance is only worked out where the bags leave it open."""
+    longest = max(len(a), len(b))
+    if abs(len(a) - len(b)) > (1 - same) * longest:
+        return True
+    edits = max((bag_a & ~bag_b).bit_count(), (bag_b & ~bag_a).bit_count())
+    return 1 - edits / max(longest, 1) < same or _distance(a, b) < same
+
+
 def extract(text: str | None, top: int = 25, longest: int = 3, same: float = 0.85, stopwords: tuple[str, ...] = PHRASE_STOPWORDS) -> list[tuple[str, str, float]]:
     """(keyword, as written, score) of at most ``top`` keywords of up to ``longest`` words; a smaller score is better, and of
     spellings alike by ``same`` the best stays.  Null and empty texts have none."""
@@ -98,9 +117,12 @@ def extract(text: str | None, top: int = 25, longest: int = 3, same: float = 0.8
                 total += words[w]
         scored.append((product / (n * (1 + total)), key))
     kept: list[tuple[str, str, float]] = []
+    bags: list[int] = []
     for score, key in sorted(scored):
-        if all(abs(len(key) - len(k)) > (1 - same) * max(len(key), len(k)) or _distance(key, k) < same for k, _, _ in kept):
+        bag = _bag(key)
+        if all(_apart(key, bag, k, b, same) for (k, _, _), b in zip(kept, bags)):
             kept.append((key, written[key], score))
+            bags.append(bag)
             if len(kept) == top:
                 break
     return kept

@@ -80,13 +80,17 @@ def known_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.known_entities(_active(spark, sf_dir), "id", "full_text_plain", ENTITIES)
 
 
+#: Fixed value: topics kept per issue.
+TOP = 25
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = _active(spark, sf_dir)
     found = {
         "known_entity": topics.known_entities(active, "id", "full_text_plain", ENTITIES),
         "phrase_lexicon": topics.lexicon_phrases(active, "id", "full_text_plain", _lexicon(spark, sf_dir)),
         "heuristic_entity": topics.heuristic_entities(active, "id", "full_text_plain"),
-        "yake": yake.keywords(active, "id", "full_text_plain").withColumn("occurrences", F.lit(1)),
+        "yake": yake.keywords(active, "id", "full_text_plain", top=max(4 * TOP, 25)).withColumn("occurrences", F.lit(1)),
     }
     return topics.merged_candidates(found)
 
@@ -110,11 +114,12 @@ def extracted_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rows.join(ratios, ["doc_id", "keyword"], "left")
     reason = topics.suppression_reason(F.col("keyword"), F.size(F.split("keyword", " ")), F.col("occurrences"), F.col("sentence_spread"), F.lit(False), F.col("ratio"))
     kept = topics.constructed(judged.withColumn("reason", reason).where("reason IS NULL"), {"working map": "working maps"}).where("canonical IS NOT NULL")
+    kept = topics.first_kept(kept, TOP)
     zipf = topics.background_zipf(table(spark, sf_dir, "documents"), "text")
     total = _active(spark, sf_dir).count()
     boosted = topics.domain_boost(kept.withColumn("keyword", F.col("canonical")), zipf, total, "occurrences")
     best = topics.reranked(boosted, _active(spark, sf_dir), "id", "full_text_plain")
-    return best.where("rank <= 25")
+    return best.where(F.col("rank") <= TOP)
 
 
 @Q.add(

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from colophon.operators import topics, yake
+from colophon.plans import topics as plans
 
 
 def _line(spark, rows):
@@ -106,3 +109,27 @@ def test_drift(spark):
     docs = spark.createDataFrame([("the market rose rose fast market rose", 2024, 1), ("the market fell fell market fell", 2024, 5), (None, 2024, 1), ("market", None, 2)], "text string, year int, month int")
     got = {(r.quarter, r.word): r.lift for r in topics.drift(docs, "text", "market").collect() if r.word in ("rose", "fell")}
     assert set(got) == {(1, "rose"), (2, "fell")} and all(v > 1 for v in got.values())
+
+
+def test_all_candidates_reach_the_rules(spark, tmp_path):
+    chance = random.Random(5)
+    word = lambda: "".join(chance.choice("bcdfghklmnprstvw") + chance.choice("aeiou") for _ in range(3))
+    words = [word() for _ in range(20)]
+    text = " ".join(" ".join(chance.sample(words, 3)) + "." for _ in range(60))
+    spark.createDataFrame([("i", "active", text)], "id string, status string, full_text_plain string").write.parquet(f"{tmp_path}/issues.parquet")
+    spark.createDataFrame([(text,)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [k for k, _, _ in yake.extract(text, 100)]
+    phrases = [k for k in found if " " in k]  # single words of this source count once, which suppresses them
+    assert len(found) == 100 and len(phrases) > 25 > len([k for k in found[:25] if " " in k])
+    assert plans.merged_candidates(spark, str(tmp_path)).count() == 100
+    got = plans.extracted_topics(spark, str(tmp_path)).collect()
+    assert sorted(r.keyword for r in got) == sorted(phrases[:25]) and sorted(r["rank"] for r in got) == list(range(1, 26))
+
+
+def test_spellings_apart_as_by_distance():
+    chance = random.Random(6)
+    words = ["".join(chance.choice("abc ") for _ in range(chance.randint(1, 24))) for _ in range(120)]
+    words += [w[:i] + c + w[i + 1 :] for w in words for i, c in ((3, "a"), (7, "b"))]
+    for a, b in zip(words * 3, words[1:] + words[120:] + words[:121] + words):
+        want = abs(len(a) - len(b)) > (1 - 0.85) * max(len(a), len(b)) or yake._distance(a, b) < 0.85
+        assert yake._apart(a, yake._bag(a), b, yake._bag(b), 0.85) == want
