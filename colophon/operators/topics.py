@@ -354,6 +354,27 @@ def similar_to(queries: DataFrame, topics: DataFrame, least: float = 0.2, blocks
     return scored.withColumn("blended", 0.6 * F.col("cosine") + 0.4 * F.col("jaccard")).where(F.col("blended") >= least)
 
 
+def similar_topics(topics: DataFrame, least: float = 0.2, blocks: int = 16) -> DataFrame:
+    """(keyword_a, keyword_b, cosine, jaccard, blended) of all pairs of ``topics`` as in :func:`similar_to`, in both directions.
+
+    Each hash block meets each block once; a pair is scored in one cell and then given out twice.
+    """
+    norm = F.sqrt(V.dot(F.col("embedding"), F.col("embedding")))
+    placed = topics.select("keyword", "embedding", "issues", norm.alias("norm"), F.pmod(F.xxhash64("keyword"), F.lit(blocks)).cast("int").alias("own"))
+    side = lambda s: placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("keyword", "embedding", "issues", "norm")], "own")
+    left = side("a").withColumn("other", F.explode(F.sequence(F.col("own"), F.lit(blocks - 1)))).withColumnRenamed("own", "row").withColumnRenamed("other", "column")
+    right = side("b").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumnRenamed("own", "column").withColumnRenamed("other", "row")
+    once = ((F.col("row") < F.col("column")) & (F.col("keyword_a") != F.col("keyword_b"))) | (F.col("keyword_a") < F.col("keyword_b"))
+    pairs = left.join(right, ["row", "column"]).where(once)
+    norms = F.col("norm_a") * F.col("norm_b")
+    value = F.when((F.size("embedding_a") == F.size("embedding_b")) & (norms > 0), V.dot(F.col("embedding_a"), F.col("embedding_b")) / norms)
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(value, F.lit(0.0))))
+    scored = pairs.select("keyword_a", "keyword_b", cosine.alias("cosine"), T.jaccard(F.col("issues_a"), F.col("issues_b")).alias("jaccard"))
+    scored = scored.withColumn("blended", 0.6 * F.col("cosine") + 0.4 * F.col("jaccard")).where(F.col("blended") >= least)
+    ways = F.array(F.struct("keyword_a", "keyword_b"), F.struct(F.col("keyword_b").alias("keyword_a"), F.col("keyword_a").alias("keyword_b")))
+    return scored.select(F.explode(ways).alias("way"), "cosine", "jaccard", "blended").select("way.*", "cosine", "jaccard", "blended")
+
+
 def adjacent(topics: DataFrame, keyword: str, top: int = 10) -> DataFrame:
     """(keyword, keyword_display, cooccurrence): what shares most issues with ``keyword``."""
     mine = topics.where(F.col("keyword") == keyword).select("issue_id").distinct()

@@ -281,6 +281,12 @@ def alternative_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("keyword", F.round(weighted, 6).alias("weighted"), F.round(topics.corpus_share(F.col("doc_frequency"), F.col("total_issues")), 6).alias("share"))
 
 
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, keyword, embedding, issues): vectors as topics, their labels as issues."""
+    issues = F.array_distinct(F.array(F.col("label").cast("long"), F.col("label") + F.col("vec_id") % 7))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("topic-"), F.col("vec_id").cast("string")).alias("keyword"), "embedding", issues.alias("issues"))
+
+
 @Q.add(
     """WITH k AS (SELECT 'topic-' || vec_id AS keyword, CAST(embedding AS DOUBLE[]) AS e, [label, label + vec_id % 7] AS i, vec_id FROM embeddings),
 p AS (SELECT a.keyword AS keyword_a, b.keyword AS keyword_b, list_cosine_similarity(a.e, b.e) AS c, len(list_intersect(list_distinct(a.i), list_distinct(b.i))) / CAST(len(list_distinct(list_concat(a.i, b.i))) AS DOUBLE) AS j FROM k a JOIN k b ON a.keyword <> b.keyword WHERE a.vec_id % 100 = 0)
@@ -288,11 +294,22 @@ SELECT keyword_a, keyword_b, round(c, 6) AS cosine, round(j, 6) AS jaccard, roun
 )
 def blended_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics like the stated query set (identifiers divisible by 100) by vector and by shared issues."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("topic-"), F.col("vec_id").cast("string")).alias("keyword"), "embedding", F.array_distinct(F.array(F.col("label").cast("long"), F.col("label") + F.col("vec_id") % 7)).alias("issues"))
+    rows = _embedded(spark, sf_dir)
     found = topics.similar_to(rows.where("vec_id % 100 = 0"), rows)
     return found.select("keyword_a", "keyword_b", *[F.round(c, 6).alias(c) for c in ("cosine", "jaccard", "blended")])
 
 
+@Q.add(
+    """WITH k AS (SELECT 'topic-' || vec_id AS keyword, CAST(embedding AS DOUBLE[]) AS e, [label, label + vec_id % 7] AS i FROM embeddings),
+p AS (SELECT a.keyword AS keyword_a, b.keyword AS keyword_b, list_cosine_similarity(a.e, b.e) AS c, len(list_intersect(list_distinct(a.i), list_distinct(b.i))) / CAST(len(list_distinct(list_concat(a.i, b.i))) AS DOUBLE) AS j FROM k a JOIN k b ON a.keyword <> b.keyword)
+SELECT keyword_a, keyword_b, round(c, 6) AS cosine, round(j, 6) AS jaccard, round(0.6 * c + 0.4 * j, 6) AS blended FROM p WHERE 0.6 * c + 0.4 * j >= 0.2"""
+)
+def similar_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of topics alike by vector and by shared issues, in both directions."""
+    found = topics.similar_topics(_embedded(spark, sf_dir))
+    return found.select("keyword_a", "keyword_b", *[F.round(c, 6).alias(c) for c in ("cosine", "jaccard", "blended")])
+
+
 @Q.add(
     """SELECT keyword, max(keyword_display) AS keyword_display, count(DISTINCT issue_id) AS cooccurrence FROM issue_topics WHERE keyword <> 'slow feedback' AND issue_id IN (SELECT issue_id FROM issue_topics WHERE keyword = 'slow feedback') GROUP BY 1 ORDER BY cooccurrence DESC, keyword LIMIT 10"""
 )

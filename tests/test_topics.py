@@ -133,3 +133,12 @@ def test_spellings_apart_as_by_distance():
     for a, b in zip(words * 3, words[1:] + words[120:] + words[:121] + words):
         want = abs(len(a) - len(b)) > (1 - 0.85) * max(len(a), len(b)) or yake._distance(a, b) < 0.85
         assert yake._apart(a, yake._bag(a), b, yake._bag(b), 0.85) == want
+
+
+def test_similar_topics_are_all_pairs(spark):
+    chance = random.Random(7)
+    rows = [(f"k{i}", [chance.gauss(0, 1) for _ in range(4)], [chance.randint(0, 5)]) for i in range(30)] + [("none", None, [1]), ("zero", [0.0] * 4, [1]), ("short", [1.0], [1])]
+    frame = spark.createDataFrame(rows, "keyword string, embedding array<double>, issues array<long>")
+    got = [tuple(r) for r in topics.similar_topics(frame, blocks=3).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in topics.similar_to(frame, frame).collect())
+    assert len({g[:2] for g in got}) == len(got) and {(b, a) for a, b, *_ in got} == {g[:2] for g in got} and len(got) > 100
