@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from colophon.functions import dictionaries as D
 from colophon.functions import text as T
-from colophon.functions import vectors as V
 from colophon.operators import fusion, ingest, lexical, query_language, semantic
 from colophon.plans.base import Queries
 from colophon.sources.tables import table
@@ -127,17 +126,32 @@ def topic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COSINE_SQL = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7))"
 
 
-def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    """The vector of the query, one row."""
-    return list(table(spark, sf_dir, "embeddings").where("vec_id = 7").select("embedding").first()[0])
+def _query_vectors(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """(query_id, query_vector, query_label) of the vectors that are asked for."""
+    return table(spark, sf_dir, "embeddings").where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
+
+
+#: The query set prescribed for searches.
+QUERY_SET = "vec_id % 100 = 0"
 
 
 @Q.add(f"SELECT vec_id, label, round({_COSINE_SQL}, 6) AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY round({_COSINE_SQL}, 6) DESC, vec_id LIMIT 15")
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 nearest chunks among those that pass a filter on their metadata."""
-    rows = table(spark, sf_dir, "embeddings")
-    scored = rows.where(F.col("label").isin(1, 2, 3)).withColumn("score", F.round(V.cosine(F.col("embedding"), V.vector(_query_vector(spark, sf_dir))), 6))
-    return scored.orderBy(F.col("score").desc(), "vec_id").limit(D.SEMANTIC_TOP).select("vec_id", "label", "score")
+    keep = F.col("label").isin(1, 2, 3)
+    return semantic.top_chunks_each(_query_vectors(spark, sf_dir, "vec_id = 7"), table(spark, sf_dir, "embeddings"), "query_id", "vec_id", "embedding", keep).select("vec_id", "label", "score")
+
+
+@Q.add(
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+    FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.label IN (q.label, (q.label + 1) % 10, (q.label + 2) % 10))
+SELECT query_id, vec_id, label, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 15"""
+)
+def semantic_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 nearest chunks of each vector of the query set, each behind a filter of its own."""
+    queries = _query_vectors(spark, sf_dir, QUERY_SET)
+    keep = F.col("label").isin([(F.col("query_label") + i) % 10 for i in range(3)])
+    return semantic.top_chunks_each(queries, table(spark, sf_dir, "embeddings"), "query_id", "vec_id", "embedding", keep).select("query_id", "vec_id", "label", "score")
 
 
 @Q.add(
@@ -147,9 +161,24 @@ SELECT document, top_score, top_chunk, chunk_count, row_number() OVER (ORDER BY
 )
 def chunk_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks collapsed to documents of four, each with its best chunk."""
-    query = V.vector(_query_vector(spark, sf_dir))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 4).cast("long").alias("document"), F.round(V.cosine(F.col("embedding"), query), 6).alias("score"))
-    return semantic.collapsed(rows, "document", "vec_id", floor=0.05)
+    return _collapsed(spark, sf_dir, "vec_id = 7").drop("query_id")
+
+
+def _collapsed(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 4).cast("long").alias("document"))
+    scored = semantic.query_scores(_query_vectors(spark, sf_dir, which), rows, "vec_id", "embedding")
+    return semantic.collapsed(scored, "document", "vec_id", floor=0.05, query="query_id")
+
+
+@Q.add(
+    """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.vec_id // 4 AS document, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+    FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
+g AS (SELECT query_id, document, max(score) AS top_score, first(vec_id ORDER BY score DESC, vec_id DESC) AS top_chunk, count(*) AS chunk_count FROM s WHERE score >= 0.05 GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY top_score DESC, document) AS semantic_rank FROM g QUALIFY semantic_rank <= 500"""
+)
+def chunk_collapse_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks collapsed to documents for each vector of the query set."""
+    return _collapsed(spark, sf_dir, QUERY_SET)
 
 
 # Hybrid ranking of recorded hits.

@@ -77,6 +77,20 @@ def test_filter_comes_before_top_k(spark):
     assert [r.k for r in found.orderBy(F.desc("score")).collect()] == [19, 17, 15]
 
 
+def test_searches_of_many_queries(spark):
+    rows = spark.createDataFrame([(i, i // 4, [float(i % 7), 1.0], i % 3) for i in range(40)], "k int, doc int, e array<double>, kind int")
+    queries = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 1), (2, [1.0, 1.0], 5)], "q int, query_vector array<double>, wanted int")
+    found = semantic.top_chunks_each(queries, rows, "q", "k", "e", F.col("kind") == F.col("wanted"), top=4, blocks=3).collect()
+    for q, vector, wanted in ((0, [1.0, 0.0], 0), (1, [0.0, 1.0], 1), (2, [1.0, 1.0], 5)):
+        alone = rows.where(F.col("kind") == wanted).withColumn("score", F.round(V.cosine(F.col("e"), V.vector(vector)), 6))
+        want = alone.orderBy(F.desc("score"), "k").limit(4).collect()  # equal scores of k, k + 21, ... go by k
+        assert sorted((r.k, r.score) for r in found if r.q == q) == sorted((r.k, r.score) for r in want)
+        scored = rows.withColumn("score", F.round(V.cosine(F.col("e"), V.vector(vector)), 6))
+        want = semantic.collapsed(scored, "doc", "k", floor=0.3, top=5).collect()
+        got = semantic.collapsed(semantic.query_scores(queries, rows, "k", "e", blocks=3), "doc", "k", floor=0.3, top=5, query="q").where(F.col("q") == q).drop("q")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) == 5
+
+
 def _fused(spark, rows):
     schema = "issue_id string, lexical_rank int, semantic_rank int, chunk_count int, lexical_hits int, title string, subtitle string, headings string, full_text_plain string, issue_number int"
     frame = spark.createDataFrame(rows, schema)
