@@ -247,8 +247,10 @@ def nested_fragments(keywords: DataFrame, topics: DataFrame, least_overlap: floa
     Longer phrases send out all their shorter runs of words, which meet the shorter phrases in an equi-join.
     """
     spelled = keywords.select("keyword", F.split("keyword", " ").alias("tokens")).where(F.size("tokens") >= 2)
-    runs = lambda n: F.when(F.size("tokens") > n, T.ngrams(F.col("tokens"), n)).otherwise(F.array().cast("array<string>"))
-    inner = spelled.select(F.col("keyword").alias("longer"), F.explode(F.array_distinct(F.concat(*[runs(n) for n in (2, 3, 4, 5)]))).alias("keyword"))
+    size = F.size("tokens")
+    runs = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(F.col("tokens"), i, n), " "))
+    every = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), runs))
+    inner = spelled.where(size > 2).select(F.col("keyword").alias("longer"), F.explode(F.array_distinct(every)).alias("keyword"))
     pairs = inner.join(spelled.select("keyword"), "keyword").where(~F.col("keyword").isin(list(exempt)) if exempt else F.lit(True))
     carried = topics.where("suppression_reason IS NULL").select("keyword", "issue_id").distinct()
     short = pairs.join(carried, "keyword").groupBy("keyword", "longer").agg(F.count(F.lit(1)).alias("n"))

@@ -55,6 +55,13 @@ def test_nested_fragments(spark):
     assert [r.keyword for r in topics.nested_fragments(rows.select("keyword").distinct(), rows).collect()] == ["language models"]
 
 
+def test_nested_fragments_of_any_length(spark):
+    longer = "one two three four five six seven eight"
+    inside = ["two three four five six seven", "one two three four five six seven", "seven eight"]
+    rows = spark.createDataFrame([(k, "1", None) for k in [longer, "two four", *inside]], "keyword string, issue_id string, suppression_reason string")
+    assert {r.keyword for r in topics.nested_fragments(rows.select("keyword"), rows).collect()} == set(inside)
+
+
 def test_similar_spellings_against_all_pairs(spark):
     words = ["loose coupling", "loosely coupling", "loose couplings", "tight coupling", "abc", "abcd", "ab", "b", "loose coupling"]
     got = {(r.a, r.b): r.dice for r in topics.similar_spellings(spark.createDataFrame([(w,) for w in words], "keyword string"), 0.8).collect()}
