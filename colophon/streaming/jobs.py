@@ -6,6 +6,7 @@ import random
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -71,18 +72,30 @@ def stateful_claims(changes: DataFrame) -> DataFrame:
     """Stream of accepted transitions (key, status, attempts): a custom stateful operator.
 
     queued may become processing, processing may become succeeded, failed or deferred, failed and deferred may be queued again;
-    nothing follows success.  Any other change is refused and not emitted.  State is one status per key.
+    nothing follows success.  Any other change is refused and not emitted.  State is one status per key.  Arrow hands a key's
+    rows over in slices, so the key's whole micro-batch is kept, at some 17 bytes a row, and sorted by time before it is folded.
     """
     allowed = {None: {"queued", "processing", "succeeded", "failed", "deferred"}, "queued": {"processing", "succeeded", "failed", "deferred"}, "processing": {"succeeded", "failed", "deferred"}, "failed": {"queued", "processing", "succeeded"}, "deferred": {"queued", "processing", "succeeded"}, "succeeded": set()}
 
+    names = sorted(allowed[None])
+    codes = {name: i for i, name in enumerate(names)}
+
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         status = state.get[0] if state.exists else None
-        out = []
+        slices = []
         for batch in batches:
-            for row in batch.sort_values(["changed_at", "attempts"], na_position="last").itertuples():
-                if row.status in allowed.get(status, set()):
-                    status = row.status
-                    out.append((key[0], row.status, 0 if pd.isna(row.attempts) else int(row.attempts)))
+            kinds = np.array([codes.get(s, -1) for s in batch["status"].tolist()], dtype="int8")
+            times = batch["changed_at"].to_numpy().astype("datetime64[ns]")
+            times = np.where(np.isnat(times), np.iinfo("int64").max, times.astype("int64"))  # those without come last
+            attempts = batch["attempts"].to_numpy(dtype="float64", na_value=np.nan)
+            slices.append((kinds, times, attempts))
+        kinds, times, attempts = (np.concatenate(x) for x in zip(*slices))
+        out = []
+        for i in np.lexsort((attempts, times)).tolist():
+            name = names[kinds[i]] if kinds[i] >= 0 else None
+            if name in allowed.get(status, set()):
+                status = name
+                out.append((key[0], status, 0 if np.isnan(attempts[i]) else int(attempts[i])))
         if status is not None:
             state.update((status,))
         yield pd.DataFrame(out, columns=["key", "status", "attempts"])

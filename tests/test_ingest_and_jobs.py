@@ -94,6 +94,22 @@ def test_stream_equals_batch(spark, sf):
     assert claims.groupBy("key").agg(F.sum((F.col("status") == "succeeded").cast("int")).alias("n")).where("n > 1").isEmpty()
 
 
+def test_claims_do_not_depend_on_slices(spark, tmp_path):
+    steps = ["queued", "processing", "failed", "queued", "unknown", "processing", "succeeded"]
+    rows = [("k", s, i, f"2024-01-0{i + 1} 00:00:00") for i, s in reversed(list(enumerate(steps)))] + [("none", None, None, None)]
+    frame = spark.createDataFrame(rows, "key string, status string, attempts int, changed_at string").withColumn("changed_at", F.col("changed_at").cast("timestamp"))
+    frame.coalesce(1).write.parquet(f"{tmp_path}/in")
+    name, got = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    spark.conf.set(name, 2)
+    try:
+        claims = jobs.stateful_claims(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"))
+        jobs.run_available(claims, lambda batch, n: got.extend(map(tuple, batch.collect())), f"{tmp_path}/state")
+    finally:
+        spark.conf.set(name, before)
+    assert got == [("k", s, i) for i, s in enumerate(steps) if s != "unknown"]
+
+
 def test_retries():
     calls = []
 
