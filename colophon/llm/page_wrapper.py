@@ -43,8 +43,6 @@ _DIGITS = re.compile(r"\d+")
 _COUNTED = re.compile(r"\(\d[\d.,]*\s+(?:likes?|comments?|views?|reads?)\)$")
 _WORD = re.compile(r"[^\W\d_]")
 _MARKED = "\\|{}<$=`!>:;"
-#: Longer lines are never nodes of a wrapper.
-LONGEST = 200
 
 
 class Line:
@@ -77,7 +75,7 @@ def _masked(text: str, names: re.Pattern | None) -> str:
 
 
 def parse_lines(text: str, names: re.Pattern | None) -> list[Line | None]:
-    """One entry per line of ``text``; None for lines that can't be furniture: blank, long, code and markup blocks."""
+    """One entry per line of ``text``; None for lines that can't be furniture: blank, code and markup blocks."""
     nodes: list[Line | None] = []
     fence, verbatim = "", False
     for number, raw in enumerate(text.split("\n"), 1):
@@ -92,7 +90,7 @@ def parse_lines(text: str, names: re.Pattern | None) -> list[Line | None]:
             fence = m[1]
         elif _OPEN_CODE.search(line):
             verbatim = not _CLOSE_CODE.search(line)
-        elif line and len(line) <= LONGEST and line[0] not in _MARKED and _WORD.search(line):
+        elif line and line[0] not in _MARKED and _WORD.search(line):
             node = _node(number, line, names)
         nodes.append(node)
     return nodes
@@ -207,7 +205,7 @@ def _count_labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             nodes = parse_lines(text, patterns[host])
             for node in nodes:
                 if node is not None:
-                    for label in node.labels:
+                    for label in map(label_hash, node.labels):  # lines may be long: only their hashes are kept
                         if label not in seen:
                             seen.add(label)
                             pages[host, label] += 1
@@ -215,7 +213,7 @@ def _count_labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "host": [h for h, _ in pages],
-                "label": pd.array([None if x is None else label_hash(x) for _, x in pages], dtype="Int64"),
+                "label": pd.array([x for _, x in pages], dtype="Int64"),
                 "pages": list(pages.values()),
                 "places": [places[k] for k in pages],
             }
@@ -227,7 +225,7 @@ def host_wrappers(pages: DataFrame, least_pages: int = 5, host_share: float = 0.
 
     A node is constant on a host if it is on at least twice ``least_pages`` of its pages and ``host_share`` of them, so that
     an article read a few times is no template; what is on at least ``least_pages`` pages, ``least_pages`` hosts and ``all_share`` of all pages counts on every host that has it.  The
-    shares bound a wrapper by the average number of short lines of a page over the share.
+    shares bound a wrapper by the average number of labels of a page over the share.
     """
     counts = pages.select("host", "text").mapInPandas(_count_labels, "host string, label long, pages long, places long")
     counts = cut(counts.groupBy("host", "label").agg(F.sum("pages").alias("pages"), F.sum("places").alias("places")))

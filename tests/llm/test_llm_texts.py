@@ -122,6 +122,16 @@ def test_articles(spark):
     assert page_wrapper.lines_outside(frame.where("false")).count() == 0
 
 
+def test_long_lines_may_be_furniture(spark):
+    notice = "We use cookies and small files on your device " + "to measure visits and to remember what you chose " * 5 + "as told."
+    menu = " | ".join(f"[Part {c}](https://the-site.example/{c})" for c in "abcdefgh")
+    own = lambda i: "Rain fell on the " + "abcdefghijklmnopqrst"[i] * 9 + " and nobody there thought of going home before the evening" * 4 + "."
+    pages = [("page", f"p{i}", "the-site.example", f"{menu}\n\n{own(i)}\n\n{notice}") for i in range(20)]
+    frame = spark.createDataFrame(pages, "record_kind string, record_id string, host string, text string")
+    assert min(len(menu), len(notice), len(own(0))) > 200
+    assert sorted((r.record_id, r.line_no) for r in page_wrapper.lines_outside(frame).collect()) == sorted((f"p{i}", n) for i in range(20) for n in (1, 5))
+
+
 def test_page_rows(spark):
     rows = spark.createDataFrame([("u1", None, "x"), ("u2", "", "y"), ("https://H.example:1/a", "t", "z"), ("u3", "t", "w")], "url string, markdown string, text string")
     got = page_wrapper.page_rows(rows, "page", "url", "url", "markdown").collect()
