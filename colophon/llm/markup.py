@@ -30,7 +30,7 @@ _BRACKETS = re.compile(
     r"|\[[^\]\[\n]+\]\[[^\]\[\n]*\]|^\[[^\]\n]+\]:\s+\S",
     re.M,
 )
-_DOLLARS = re.compile(r"\$\$|(?<![\w$\\])\$(?=[^\s$])([^$\n]{1,300}?)(?<=[^\s$])\$(?!\w)")
+_DOLLARS = re.compile(r"\$\$|(?<![\w$\\])\$(?=[^\s$])([^$\n]+?)(?<=[^\s$])\$(?!\w)")
 _FORMULA = re.compile(r"[\\^_=<>+]|^[A-Za-z]$|^[A-Za-z]\s*[-*/]\s*\w")
 _COMMAND = re.compile(rf"\\(?:begin|end)\{{|\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{{|\\(?:{BARE_COMMANDS})(?![A-Za-z\\])|\\\([^\n]+?\\\)|\\\[(?s:.+?)\\\]")
 _BRACES = re.compile(r"\{\{[^{}]+(?:\{\{[^{}]*\}\}[^{}]*)*\}\}|^\{\|", re.M)
@@ -91,7 +91,7 @@ _KEEP = re.compile(
     r"|(?P<verb>\\begin\{(?P<v>verbatim|lstlisting)\}(?P<verbcode>.*?)\\end\{(?P=v)\})"
     r"|(?P<fence>^[ ]{0,3}(?P<f>```+|~~~+)[^\n]*\n(?P<fencecode>.*?)(?:^[ ]{0,3}(?P=f)[ \t]*$|\Z))"
     r"|(?P<block>\$\$(?P<d1>.+?)\$\$|\\\[(?P<d2>.+?)\\\]|\\begin\{(?P<e>equation|align|gather|displaymath)\*?\}(?P<d3>.+?)\\end\{(?P=e)\*?\})"
-    r"|(?P<inline>\\\((?P<i1>.+?)\\\)|(?<![\w$\\])\$(?=[^\s$])(?P<i2>[^$\n]{1,300}?)(?<=[^\s$])\$(?!\w)|<math>(?P<i3>.*?)</math>)"
+    r"|(?P<inline>\\\((?P<i1>.+?)\\\)|(?<![\w$\\])\$(?=[^\s$])(?P<i2>[^$\n]+?)(?<=[^\s$])\$(?!\w)|<math>(?P<i3>.*?)</math>)"
     r"|(?P<tick>`(?P<code>[^`\n]+)`)",
     re.S | re.M | re.I,
 )

@@ -51,6 +51,11 @@ def test_any_mixture_converts(parts):
     assert clean is not None and "\ue000" not in clean
 
 
+def test_long_formulas():
+    formula = "$" + " + ".join(f"x_{i} * y_{i}" for i in range(40)) + "$"
+    assert len(formula) > 302 and markup.has_markup(f"so {formula} holds") and formula in markup.clean_text(f"so {formula} holds, *not* less")
+
+
 def test_markup_records(spark):
     rows = spark.createDataFrame([("chunk", "1", "**a**", "x"), ("chunk", "2", None, "x"), ("issue", "1", "", "x"), ("issue", "2", "x" * 300_000, "x"), ("chunk", "1", "**a**", "x")], "record_kind string, record_id string, text string, found string")
     assert [(r.record_kind, r.record_id) for r in markup.records_with_markup(rows).collect()] == [("chunk", "1")] * 2
