@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -127,14 +128,56 @@ def test_articles(spark):
     assert page_wrapper.lines_outside(frame.where("false")).count() == 0
 
 
-def test_long_lines_may_be_furniture(spark):
-    notice = "We use cookies and small files on your device " + "to measure visits and to remember what you chose " * 5 + "as told."
-    menu = " | ".join(f"[Part {c}](https://the-site.example/{c})" for c in "abcdefgh")
-    own = lambda i: "Rain fell on the " + "abcdefghijklmnopqrst"[i] * 9 + " and nobody there thought of going home before the evening" * 4 + "."
-    pages = [("page", f"p{i}", "the-site.example", f"{menu}\n\n{own(i)}\n\n{notice}") for i in range(20)]
-    frame = spark.createDataFrame(pages, "record_kind string, record_id string, host string, text string")
-    assert min(len(menu), len(notice), len(own(0))) > 200
-    assert sorted((r.record_id, r.line_no) for r in page_wrapper.lines_outside(frame).collect()) == sorted((f"p{i}", n) for i in range(20) for n in (1, 5))
+PAGES = "record_kind string, record_id string, host string, text string"
+
+
+def _own(i):
+    word = "".join("abcdefghij"[int(x)] for x in f"{i:05d}")
+    return f"Rain fell on {word} and nobody there thought of going home before the evening, as the council of {word} had asked for."
+
+
+RECURRING = [
+    "We use cookies and small files on your device " + "to measure visits and to remember what you chose " * 5 + "as told.",
+    " | ".join(f"[Part {c}](https://the-site.example/{c})" for c in "abcdefgh") * 2,
+    '<div class="cookie">We set small files on your device</div>',
+    "![Subscribe](https://the-site.example/banner.png)",
+    "This site is run by volunteers in their spare time.",
+    "> Read by many",
+]
+
+
+def test_any_recurring_line_may_be_furniture(spark):
+    """Lines of any length, of markup and of any words, before and after the article."""
+    pages = []
+    for n, line in enumerate(RECURRING):
+        for place, blocks in (("start", [line, "{}", "{}"]), ("end", ["{}", "{}", line])):
+            pages += [("page", f"{place} {n} {i}", f"www.{place}-{n}.example", "\n\n".join(_own(i + 200 * k + 1000 * (2 * n + len(place))) if b == "{}" else b for k, b in enumerate(blocks))) for i in range(60)]
+    found = sorted((r.record_id, r.line_no) for r in page_wrapper.lines_outside(spark.createDataFrame(pages, PAGES)).collect())
+    assert found == sorted((p[1], 1 if p[1].startswith("start") else 5) for p in pages)
+
+
+def test_the_same_line_in_menu_and_article(spark):
+    """Alignment goes by position: a set of labels would take the line out of both places."""
+    pages = [("page", f"p{i}", "the-site.example", f"Menu\nAbout\nShop\nJobs\n\n{_own(i)}\n\nAbout\n\n{_own(i + 60)}\n\n- {_own(i)[:30]}\n- About\n- {_own(i)[30:60]}\n\nShop\nJobs") for i in range(0, 60, 12)]
+    pages += [("page", f"q{i}", "the-site.example", f"Menu\nAbout\nShop\nJobs\n\n{_own(i)}") for i in range(60)]
+    found = {}
+    for r in page_wrapper.lines_outside(spark.createDataFrame(pages, PAGES)).collect():
+        found.setdefault(r.record_id, []).append(r.line_no)
+    assert sorted(found["q7"]) == [1, 2, 3, 4] and sorted(found["p12"]) == [1, 2, 3, 4, 16, 17]
+
+
+def test_what_writers_repeat_stays(spark):
+    lines = [f"Title {'abcdefghij'[i % 10]}\n\n{_own(i)}\n\nIt rained.\n\n{_own(i + 60)}\n\nWorth a look this week:\n- {_own(i)[:40]}\n- {_own(i)[40:]}\n\n\\begin{{itemize}}\n\\item {_own(i)}\n\\end{{itemize}}" for i in range(60)]
+    assert page_wrapper.lines_outside(spark.createDataFrame([("page", f"p{i}", "h.example", x) for i, x in enumerate(lines)], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [3, 10**6])
+def test_a_hot_host_and_odd_rows(spark, hot_rows):
+    rows = [("page", f"p{i}", "the-site.example", f"Menu\nShop\n\n{_own(i)}", 1, "x") for i in range(60)]
+    rows += [rows[0], ("page", "long", "the-site.example", "word " * 100_000, 1, "x"), ("issue", None, "", "Menu\nShop", 1, "x"), ("page", "code", "the-site.example", "```\nMenu\n\nShop\n```", 1, "x")]
+    frame = spark.createDataFrame(rows, PAGES + ", line_no int, tree string")
+    found = sorted((r.record_id, r.line_no) for r in page_wrapper.lines_outside(frame, hot_rows=hot_rows).collect())
+    assert found == sorted([(f"p{i}", n) for i in range(60) for n in (1, 2)] + [("p0", 1), ("p0", 2)])
 
 
 def test_page_rows(spark):
@@ -144,19 +187,45 @@ def test_page_rows(spark):
 
 
 def test_simple_tree_matching():
-    leaf = lambda x: (x, [])
-    a = ("r", [leaf("x"), ("b", [leaf("c"), leaf("d")]), leaf("y")])
-    b = ("r", [("b", [leaf("d")]), leaf("z"), leaf("y"), leaf("x")])
-    size, pairs = page_wrapper.simple_tree_matching(a, b)
-    assert size == 4 and [p[0][0] for p in pairs] == ["b", "y"]
-    assert page_wrapper.simple_tree_matching(("r", []), ("s", [])) == (0, [])
-    assert page_wrapper.align([3, 1, 2, 9], {1: 0, 2: 1, 3: 2}) == {1, 2, 3}
+    leaf = lambda x: (x, ())
+    a = ("r", (leaf("x"), ("b", (leaf("c"), leaf("d"))), leaf("y")))
+    b = ("r", (("b", (leaf("d"),)), leaf("z"), leaf("y"), leaf("x")))
+    assert page_wrapper.simple_tree_matching(a, b) == (4, [(1, 0), (2, 2)])
+    assert page_wrapper.simple_tree_matching(("r", ()), ("s", ())) == (0, [])
 
 
-@given(st.lists(st.integers(0, 12), max_size=20), st.permutations(range(2, 9)))
-def test_aligning_is_an_intersection(labels, order):
-    """As the README states: the order of the wrapper and of the page has no effect."""
-    assert page_wrapper.align(labels, {x: i for i, x in enumerate(order)}) == set(labels) & set(order)
+def _most_matched(a, b):
+    if a[0] != b[0]:
+        return 0
+    best = 0
+    for n in range(min(len(a[1]), len(b[1])) + 1):
+        for xs in itertools.combinations(a[1], n):
+            for ys in itertools.combinations(b[1], n):
+                each = [_most_matched(x, y) for x, y in zip(xs, ys)]
+                if all(each):
+                    best = max(best, sum(each))
+    return best + 1
+
+
+TREES = st.recursive(st.tuples(st.sampled_from("ab"), st.just(())), lambda kids: st.tuples(st.sampled_from("ab"), st.lists(kids, max_size=3).map(tuple)), max_leaves=6)
+
+
+@settings(max_examples=150, deadline=None, derandomize=True)
+@given(TREES, TREES)
+def test_matching_against_brute_force(a, b):
+    size, pairs = page_wrapper.simple_tree_matching(a, b)
+    assert size == _most_matched(a, b)
+    assert all(x < y and u < v for (x, u), (y, v) in itertools.pairwise(pairs))
+    assert size == (a[0] == b[0]) + sum(_most_matched(a[1][x], b[1][u]) for x, u in pairs)
+
+
+def test_alignment_with_a_wrapper():
+    wrapper = [(t, page_wrapper.as_tree(t.split(" "))) for t in ("t= e~+", "s= t=", "t=", "l=")]
+    assert page_wrapper.outside("t= e~+", wrapper) == [0, 1]
+    assert page_wrapper.outside("c t= e~", wrapper) == [1, 2]  # text, then a list of the site
+    assert page_wrapper.outside("s= c+", wrapper) == []  # a line before text introduces it
+    assert page_wrapper.outside("l= s= t= l=", wrapper) == [0, 1, 2, 3]
+    assert page_wrapper.outside("e~ c", wrapper) == [] and page_wrapper.outside("m=", wrapper) == []
 
 
 # Packing and mixing
