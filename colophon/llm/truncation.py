@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,9 @@ SAMPLE_ROWS = 20_000
 # Marks of omission that fields and feeds put after a cut.
 MARKS = ("…", "...", " [...]", "… [read more]", " … Continue reading →", "�")
 _MARK = r"(?i)(\s*(?:…|\.\.\.)?\s*(?:\[read more\]|read more|continue reading)\s*→?|\s*\[(?:…|\.\.\.)\]|\s*…|\s*\.\.\.|�+)$"
+#: What the regular expressions of this module take for white space.
+_SPACES = " \t\n\x0b\f\r"
+_FENCE = r"(?m)^\s*```"
 #: Signs after which a text may end; artificial cuts that happen to end in one are no positives.
 _ENDS = r"[.!?:\"”»)\]}`>]$"
 #: Tasks that the sample is spread over.
@@ -57,37 +61,45 @@ FEATURES = (
 )
 
 
+def _may_be_marked(line: Column) -> Column:
+    """Whether a text's last line ends in what ends a mark; all marks do, so only these texts are searched for one."""
+    ends = [line.endswith(x) for x in ("…", "...", "]", "→", "�")]
+    words = [F.lower(F.substring(line, -16, 16)).endswith(x) for x in ("read more", "continue reading")]
+    return reduce(Column.__or__, [*ends, *words])
+
+
 def with_endings(texts: DataFrame) -> DataFrame:
     """``texts`` with short columns that say how each ``text`` ends, in place of the text.
 
     Steps build on one another, so that each piece of a text is cut out once.
     """
-    rows = texts.withColumn("_body", F.regexp_replace("text", r"\s+$", ""))
+    rows = texts.withColumn("_body", F.rtrim(F.col("text"), F.lit(_SPACES)))
+    rows = rows.withColumns({"_line": F.substring_index("_body", "\n", -1), "_fenced": F.col("text").contains("```")})
+    rows = rows.withColumn("_marked", _may_be_marked(F.col("_line")))
     rows = rows.withColumns(
         {
-            "_mark": F.regexp_replace(F.lower(F.trim(F.regexp_extract("_body", _MARK, 1))), r"\s+", " "),
-            "_core": F.regexp_replace("_body", _MARK, ""),
-            "_fence": (F.regexp_count(F.col("text"), F.lit(r"(?m)^\s*```")) % 2 == 1).cast("string"),
+            "_mark": F.when(F.col("_marked"), F.regexp_replace(F.lower(F.trim(F.regexp_extract("_body", _MARK, 1))), r"\s+", " ")).otherwise(F.lit("")),
+            "_last": F.when(F.col("_marked"), F.substring_index(F.regexp_replace("_body", _MARK, ""), "\n", -1)).otherwise(F.col("_line")),
+            "_fence": F.when(F.col("_fenced"), F.regexp_count(F.col("text"), F.lit(_FENCE)) % 2 == 1).otherwise(F.lit(False)).cast("string"),
             "_blank": (F.length("text") != F.length("_body")).cast("string"),
             "_empty": F.length("_body") == 0,
         }
-    )
-    rows = rows.withColumn("_last", F.substring_index("_core", "\n", -1)).drop("text", "_body", "_core")
+    ).drop("text", "_body", "_line", "_fenced", "_marked")
     count = lambda sign: F.length("_last") - F.length(F.replace(F.col("_last"), F.lit(sign), F.lit("")))
     brief = F.length("_last") <= _SHORT
     rows = rows.withColumns(
         {
             "_brief": brief.cast("string"),
             "_shape": F.when(brief, F.substring(_shape(F.col("_last")), 1, 40)).otherwise(F.lit("long")),
-            "_tail": _shape(F.regexp_extract("_last", r"(.{0,12})$", 1)),
+            "_tail": _shape(F.substring("_last", -12, 12)),
             "_head": F.when(brief, F.lower(F.regexp_extract("_last", r"^\s*(\S{1,16})", 1))).otherwise(F.lit("long")),
             "_open": F.concat((count("“") > count("”")).cast("string"), (count("(") > count(")")).cast("string")),
             "_words": F.when(brief, _bucket(F.size(F.split("_last", " ")))).otherwise(F.lit("long")),
-            "_lead": F.lower(F.regexp_extract("_last", r"^\s*(\w[^:.]{0,23}):\s", 1)),
+            "_lead": F.when(F.col("_last").contains(":"), F.lower(F.regexp_extract("_last", r"^\s*(\w[^:.]{0,23}):\s", 1))).otherwise(F.lit("")),
             "_phrase": F.when(F.length("_last") <= 40, F.lower("_last")).otherwise(F.lit("long")),
         }
     )
-    closing = {"_closing": F.regexp_extract("_tail", r"(.)$", 1), "_closing3": F.regexp_extract("_tail", r"(.{1,3})$", 1)}
+    closing = {"_closing": F.substring("_tail", -1, 1), "_closing3": F.substring("_tail", -3, 3)}
     return rows.withColumns(closing).drop("_last", "_tail")
 
 
@@ -172,8 +184,8 @@ def _artificial_cuts(texts: DataFrame) -> DataFrame:
     rows = texts.where(F.col("length") > 80).withColumns({"_mark": mark, "_at": cut_at, "at_limit": at_limit}).where("_at > 20")
     head, rest = F.expr("substring(text, 1, _at)"), F.expr("substring(text, _at + 1, 1)")
     rows = rows.withColumns({"_head": head, "_rest": rest})
-    inside = ~F.regexp_replace("_head", r"\s+$", "").rlike(_ENDS) & (F.col("_rest") != "\n")
-    inside = inside | (F.regexp_count(F.col("_head"), F.lit(r"(?m)^\s*```")) % 2 == 1)
+    inside = ~F.substring(F.rtrim(F.col("_head"), F.lit(_SPACES)), -1, 1).rlike(_ENDS) & (F.col("_rest") != "\n")
+    inside = inside | (F.col("_head").contains("```") & (F.regexp_count(F.col("_head"), F.lit(_FENCE)) % 2 == 1))
     return rows.where(inside).select("doc_id", F.concat("_head", "_mark").alias("text"), "at_limit")
 
 
