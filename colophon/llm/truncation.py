@@ -137,20 +137,22 @@ class EndingModel:
 
 def fit_logistic(slots: np.ndarray, labels: np.ndarray, bits: int = BITS, penalty: float = 0.3, rounds: int = 300, least_rows: int = 5) -> tuple[np.ndarray, float]:
     """Logistic regression on rows of active slots by accelerated gradient descent; deterministic.  Slots of
-    fewer than ``least_rows`` rows keep weight 0."""
-    n, k = slots.shape
-    flat, size = slots.ravel(), 1 << bits
-    known = np.bincount(flat, minlength=size) >= least_rows
+    fewer than ``least_rows`` rows keep weight 0.  Equal rows, of which endings have many, are computed once, with their number."""
+    rows, counts = np.unique(np.column_stack([slots, labels.astype(np.int64)]), axis=0, return_counts=True)
+    slots, labels = np.ascontiguousarray(rows[:, :-1]), rows[:, -1].astype(float)
+    n, k, size = counts.sum(), slots.shape[1], 1 << bits
+    flat, shares = slots.ravel(), counts / n
+    seen = np.bincount(flat, np.repeat(counts, k), minlength=size)
+    known = seen >= least_rows
     w, b = np.zeros(size), 0.0
     v, vb, t = w.copy(), b, 1.0
     step = 4.0 / (k + 1)
-    frequency = np.maximum(np.bincount(flat, minlength=size) / n, 1.0 / n)
-    scale = step / np.sqrt(frequency)  # rare features move faster
+    scale = step / np.sqrt(np.maximum(seen / n, 1.0 / n))  # rare features move faster
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(v[slots].sum(1) + vb, -30, 30)))
-        error = p - labels
-        gradient = np.bincount(flat, np.repeat(error, k), minlength=size) / n + penalty / n * v
-        new, new_b = known * (v - scale * gradient), vb - step * error.mean()
+        error = (p - labels) * shares
+        gradient = np.bincount(flat, np.repeat(error, k), minlength=size) + penalty / n * v
+        new, new_b = known * (v - scale * gradient), vb - step * error.sum()
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / t_next * (new - w), new_b + (t - 1) / t_next * (new_b - b)
         w, b, t = new, new_b, t_next
@@ -201,9 +203,11 @@ def fit(texts: DataFrame, bits: int = BITS) -> EndingModel:
 
     The texts as they are count as intact at first; those that a fit takes for cut are left out of the next, twice.
     """
-    slots = lambda rows: with_slots(with_endings(rows.select("text", "at_limit")), bits).select("slots").collect()
-    intact = np.array([r[0] for r in slots(texts)], dtype=np.int64)
-    cuts = np.array([r[0] for r in slots(_artificial_cuts(texts))], dtype=np.int64)
+    def slots(rows: DataFrame) -> np.ndarray:
+        column = with_slots(with_endings(rows.select("text", "at_limit")), bits).select("slots").toArrow().column(0).combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, len(FEATURES))
+
+    intact, cuts = slots(texts), slots(_artificial_cuts(texts))
     if len(intact) == 0 or len(cuts) == 0:
         return EndingModel(tuple([0.0] * (1 << bits)), -30.0)
     w, b = fit_logistic(np.vstack([intact, cuts]), np.r_[np.zeros(len(intact)), np.ones(len(cuts))], bits)
@@ -232,7 +236,8 @@ def truncated_texts(documents: DataFrame, doc_id: str, text: str, source: str, s
     at_limit = F.array_contains(F.col("limits"), F.col("length"))
     known = lambda frame: frame.withColumn("limits", F.coalesce("limits", F.array().cast("array<bigint>"))).withColumn("at_limit", at_limit)
     total = counts.agg(F.sum("n")).first()[0] or 0
-    model = fit(known(sampled(rows.where("length > 0"), total, sample_rows).join(per_source, "_source", "left")))
+    sample = cut(sampled(rows.where("length > 0"), total, sample_rows))  # written once, read for the texts and for their cuts
+    model = fit(known(sample.join(per_source, "_source", "left")))
     hot = counts.groupBy("_source").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_rows).orderBy(F.desc("n"), "_source").limit(MAX_HOT).select("_source")
     shaped = skew_join(with_endings(rows), per_source, ["_source"], "left", ["doc_id"], hot)
     scored = with_slots(known(shaped)).withColumn("_score", model.probability(F.col("slots")))
