@@ -6,35 +6,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colophon.operators.skew import HOT_ROWS, skew_join
-from colophon.session import cut, release
+from colophon.session import Stored, stored
+
+#: Earlier rounds that one plan of the last step looks up.
+LOOKUPS = 4
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _looked_up(left: DataFrame, right: DataFrame, key: str, spread: str, most: int, hot_rows: int, how: str = "inner") -> DataFrame:
-    """Join with ``right``, which holds each key once; ``most`` bounds the rows of a key of ``left``.  Only where that is
-    ``hot_rows`` or more, the hot keys are salted: plans stay small as long as nothing is hot."""
-    return skew_join(left, right, [key], how, [spread], hot_rows=hot_rows) if most >= hot_rows else left.join(right, key, how)
+def _looked_up(left: DataFrame, right: DataFrame, key: str, spread: str, rows: int, hot_rows: int, how: str = "inner") -> DataFrame:
+    """Join with ``right``, which holds each key once.  Only where ``left`` has ``hot_rows`` rows or more can a key be hot:
+    then hot keys are salted."""
+    return skew_join(left, right, [key], how, [spread], hot_rows=hot_rows) if rows >= hot_rows else left.join(right, key, how)
+
+
+def _upper(parents: DataFrame) -> DataFrame:
+    return parents.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+
 
+def _hooks(edges: DataFrame) -> DataFrame:
+    """(u, p): the other end of every component's smallest outgoing edge."""
+    ends = F.struct(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    least = _both_ways(edges).groupBy("u").agg(F.min(ends).alias("e"))
+    return least.select("u", F.when(F.col("e.a") == F.col("u"), F.col("e.b")).otherwise(F.col("e.a")).alias("p"))
 
-def _collapse(parents: DataFrame, most: int, hot_rows: int) -> tuple[DataFrame, int]:
-    """(every component's root, most components of one root) by pointer doubling; two components that chose each other get
-    the smaller as root.  ``most`` bounds the components that chose the same one."""
-    upper = lambda p: p.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-    first = F.when(F.col("pp") == F.col("u"), F.least("u", "p")).otherwise(F.col("pp"))
+
+def _collapse(edges: Stored, hot_rows: int) -> Stored:
+    """(u, p): every component's root, by pointer doubling along the hooks; two components that chose each other get the
+    smaller as root.
+
+    A step stores its parents and tells whether any still moved.  While few rows are left a step doubles twice, which
+    halves the number of jobs; with many it doubles once, so that no join is computed twice.
+    """
+    hooks, own = _hooks(edges.frame), None
+    if 2 * edges.observed["rows"] >= hot_rows:
+        own = stored(hooks)
+        hooks = own.frame
+    root = F.when(F.col("pp") == F.col("u"), F.least("u", "p")).otherwise(F.col("pp"))
+    parents = stored(_looked_up(hooks, _upper(hooks), "p", "u", 2 * edges.observed["rows"], hot_rows).select("u", root.alias("p")), rows="count(1)")
+    if own is not None:
+        own.discard()
     moved = True
     while moved:
-        step = _looked_up(parents, upper(parents), "p", "u", most, hot_rows)
-        target = F.col("pp") if first is None else first
-        parents = cut(step.select("u", target.alias("p"), (target != F.col("p")).alias("moved")))
-        children = parents.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.max("moved").alias("moved"))
-        row = children.agg(F.max("n").alias("most"), F.max("moved").alias("moved")).first()
-        most, moved, parents = row["most"] or 0, row["moved"] or first is not None, parents.select("u", "p")
-        first = None
-        release(parents.sparkSession)
-    return parents, most
+        rows, frame = parents.observed["rows"], parents.frame
+        step = _looked_up(frame, _upper(frame), "p", "u", rows, hot_rows).select("u", "p", "pp")
+        if rows < hot_rows:
+            twice = step.select("u", F.col("pp").alias("p"))
+            step = twice.join(_upper(twice), "p")
+        step = step.select("u", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved"))
+        later = stored(step, "u", "p", rows="count(1)", moved="max(moved)")
+        parents.discard()
+        parents, moved = later, later.observed["moved"]
+    return parents
 
 
 def linked_groups(
@@ -48,31 +73,32 @@ def linked_groups(
     Every component hooks itself along its smallest outgoing edge, ordered by both ends, so that hooks form trees but for
     pairs that chose each other.  Trees collapse by pointer doubling, edges are renamed to the roots, loops and repeats
     are dropped, until no edge is left: the components halve each round at least.  As the smallest component always
-    becomes the root of its tree, the last root is the group's smallest member.  Edges and parents are cut into the
-    checkpoint folder each step.  Members of many links are salted.  The driver gets single numbers.
+    becomes the root of its tree, the last root is the group's smallest member.  Each step is a table in the checkpoint
+    folder, deleted once the next one stands; the roots of the rounds stay.  Members of many links are salted.  The driver
+    gets numbers of rows and whether anything moved, out of the job that writes the step.
     """
     links = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
     if score is not None:
         links = links.where(~F.isnan(F.col(score).cast("double")) & (F.col(score) >= least_score))
-    edges = cut(links.select(F.least(left, right).alias("u"), F.greatest(left, right).alias("v")).distinct())
-    degree = lambda: _both_ways(edges).groupBy("u").count().agg(F.max("count")).first()[0]
-    rounds: list[tuple[DataFrame, int]] = []
-    most = degree()
-    while most or not rounds:
-        ends = F.struct(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        hooks = _both_ways(edges).groupBy("u").agg(F.min(ends).alias("e"))
-        hooks = cut(hooks.select("u", F.when(F.col("e.a") == F.col("u"), F.col("e.b")).otherwise(F.col("e.a")).alias("p")))
-        roots, children = _collapse(hooks, most or 0, hot_rows)
-        rounds.append((roots, children or 0))
-        renamed = _looked_up(edges, roots, "u", "v", most or 0, hot_rows).select(F.col("p").alias("a"), "v")
-        renamed = _looked_up(renamed, roots.withColumnRenamed("u", "v"), "v", "a", most or 0, hot_rows).select("a", F.col("p").alias("b")).where("a != b")
-        edges = cut(renamed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-        most = degree()
-        release(pairs.sparkSession)
-    groups, _ = rounds.pop()
+    edges = stored(links.select(F.least(left, right).alias("u"), F.greatest(left, right).alias("v")).distinct(), rows="count(1)")
+    rounds: list[Stored] = []
+    while edges.observed["rows"]:
+        rows = edges.observed["rows"]
+        rounds.append(_collapse(edges, hot_rows))
+        roots = rounds[-1].frame
+        renamed = _looked_up(edges.frame, roots, "u", "v", rows, hot_rows).select(F.col("p").alias("a"), "v")
+        renamed = _looked_up(renamed, roots.withColumnRenamed("u", "v"), "v", "a", rows, hot_rows).select("a", F.col("p").alias("b")).where("a != b")
+        later = stored(renamed.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), rows="count(1)")
+        edges.discard()
+        edges = later
+    if not rounds:
+        return edges.frame.select(F.col("u").alias("member"), F.col("v").alias("group_key"))
+    groups, pending = rounds.pop().frame, 0
     while rounds:
-        earlier, children = rounds.pop()
+        earlier = rounds.pop()
         later = groups.select(F.col("u").alias("p"), F.col("p").alias("final"))
-        named = _looked_up(earlier, later, "p", "u", children, hot_rows, "left")
-        groups = cut(named.select("u", F.coalesce("final", "p").alias("p")))
+        named = _looked_up(earlier.frame, later, "p", "u", earlier.observed["rows"], hot_rows, "left")
+        groups, pending = named.select("u", F.coalesce("final", "p").alias("p")), pending + 1
+        if pending == LOOKUPS:
+            groups, pending = stored(groups).frame, 0
     return groups.select(F.col("u").alias("member"), F.col("p").alias("group_key"))
