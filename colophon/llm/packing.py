@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colophon.llm import tokens
-from colophon.session import cut
+from colophon.session import cut, stored
 
 WINDOWS = 64
 #: Partitions whose leftovers meet in one task of a merging round.
@@ -86,47 +87,67 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def _merge(capacities: dict[int, int], windows: int):
-    """Leftover windows as items, largest first: (spec_id, part, window, fill, group) -> the window that takes each."""
+_MOVES = "spec_id int, part int, window long, to_part int, to_window long, n_tokens long, passed_on boolean"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packers: dict[tuple[int, int], Packer] = {}
-        names: dict[tuple[int, int, int], tuple[int, int]] = {}
-        for batch in batches:
-            rows = []
-            for spec, part, window, n, group in zip(*(batch[c] for c in ("spec_id", "part", "window", "n_tokens", "group"))):
-                packer = packers.setdefault((group, spec), Packer(capacities[spec], windows))
-                taken = packer.place(int(n))
-                to_part, to_window = names.setdefault((group, spec, taken), (part, window))
-                rows.append((spec, part, window, to_part, to_window))
-            yield pd.DataFrame(rows, columns=["spec_id", "part", "window", "to_part", "to_window"])
 
-    return run
+def merge_windows(rows: list[tuple[int, int, int, int]], capacities: dict[int, int], windows: int) -> list[tuple]:
+    """Windows (spec_id, part, window, fill) of one group, put together whole by best fit, largest first: rows of ``_MOVES``.
+
+    A window is named after the first that it takes, ``n_tokens`` is what it holds in the end.  The ``windows`` of a
+    capacity with the most room are passed on, all others are done."""
+    rows = sorted(rows, key=lambda r: (r[0], -r[3], r[1], r[2]))
+    out = []
+    for spec, mine in groupby(rows, key=lambda r: r[0]):
+        mine = list(mine)
+        packer, names, fill = Packer(capacities[spec], len(mine)), {}, {}
+        for _, part, window, n in mine:
+            taken = packer.place(n)
+            names.setdefault(taken, (part, window))
+            fill[taken] = fill.get(taken, 0) + n
+            out.append((spec, part, window, taken))
+        roomy = {w for _, w in sorted(packer.open, key=lambda x: (-x[0], names[x[1]]))[:windows]}
+        out[-len(mine) :] = [(s, p, w, *names[t], fill[t], t in roomy) for s, p, w, t in out[-len(mine) :]]
+    return out
+
+
+def merging_round(left: DataFrame, capacities: dict[int, int], windows: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Moves (``_MOVES`` and the new grp) of the windows ``left`` (spec_id, part, window, n_tokens, grp); ``fan_in``
+    neighbouring groups become one."""
+    names = [*(f.split()[0] for f in _MOVES.split(", ")), "grp"]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(*(frame[c].tolist() for c in ("spec_id", "part", "window", "n_tokens"))))
+        group = frame["to_grp"].iloc[0]
+        return pd.DataFrame([(*move, group) for move in merge_windows(rows, capacities, windows)], columns=names)
+
+    placed = left.withColumn("to_grp", F.floor(F.col("grp") / fan_in).cast("int"))
+    return placed.groupBy("to_grp").applyInPandas(run, _MOVES + ", grp int")
+
+
+def passed_on(moves: DataFrame) -> DataFrame:
+    """The windows that a round passes on to the next one: at most ``windows`` of each group and capacity."""
+    kept = moves.where("passed_on AND part = to_part AND window = to_window")
+    return kept.select("spec_id", "part", "window", "n_tokens", "grp")
 
 
 def _merged_leftovers(leftovers: DataFrame, capacities: dict[int, int], windows: int) -> DataFrame:
     """(spec_id, part, window, to_part, to_window): where each leftover window's items go.
 
-    In each round the leftovers of ``FAN_IN`` neighbouring groups meet in one task, so that a task holds the leftovers of
-    at most ``FAN_IN`` groups and the rounds are few; windows that are not filled pass on to the next round.
+    In each round the windows of ``FAN_IN`` neighbouring groups meet in one task.  A group passes on at most ``windows`` of a
+    capacity, those with the most room, so that no group ever holds more than ``FAN_IN * windows`` of a capacity.
     """
-    left = leftovers.select("spec_id", "part", "window", "n_tokens")
+    left = leftovers.select("spec_id", "part", "window", "n_tokens", F.col("part").alias("grp"))
     route = left.select("spec_id", "part", "window", F.col("part").alias("to_part"), F.col("window").alias("to_window"))
-    groups = (left.agg(F.max("part")).first()[0] or 0) + 1
-    divisor = 1
+    groups = (left.agg(F.max("grp")).first()[0] or 0) + 1
     while True:
-        divisor *= FAN_IN
-        placed = left.withColumn("group", F.floor(F.col("part") / divisor).cast("long"))
-        placed = placed.repartition(max(1, -(-groups // divisor)), "group").sortWithinPartitions("group", "spec_id", F.desc("n_tokens"), "part", "window")
-        schema = "spec_id int, part int, window long, to_part int, to_window long"
-        moves = cut(placed.mapInPandas(_merge(capacities, windows), schema))
+        groups = -(-groups // FAN_IN)
+        moves = stored(merging_round(left, capacities, windows)).frame
         step = moves.select("spec_id", F.col("part").alias("to_part"), F.col("window").alias("to_window"), F.col("to_part").alias("_p"), F.col("to_window").alias("_w"))
-        route = cut(route.join(step, ["spec_id", "to_part", "to_window"], "left").select(
-            "spec_id", "part", "window", F.coalesce("_p", "to_part").alias("to_part"), F.coalesce("_w", "to_window").alias("to_window")))
-        if divisor >= groups:
+        route = route.join(step, ["spec_id", "to_part", "to_window"], "left").select(
+            "spec_id", "part", "window", F.coalesce("_p", "to_part").alias("to_part"), F.coalesce("_w", "to_window").alias("to_window"))
+        if groups <= 1:
             return route
-        filled = left.join(moves, ["spec_id", "part", "window"]).groupBy("spec_id", "to_part", "to_window").agg(F.sum("n_tokens").alias("n_tokens"))
-        left = cut(filled.select("spec_id", F.col("to_part").alias("part"), F.col("to_window").alias("window"), "n_tokens"))
+        left = passed_on(moves)
 
 
 def pack(documents: DataFrame, doc_id: str, text: str, specs: Sequence[tuple[int, int]], ranks: str = tokens.RANKS, windows: int = WINDOWS) -> DataFrame:
@@ -134,7 +155,7 @@ def pack(documents: DataFrame, doc_id: str, text: str, specs: Sequence[tuple[int
     ``specs`` (spec_id, capacity).
 
     Every partition packs its texts as they come into at most ``windows`` open windows by best fit and sends the fullest on
-    when none fits; the windows left at its end are merged with those of other partitions, whole.  Only a text larger than
+    when none fits; the at most ``windows`` left at its end are merged with those of other partitions, whole.  Only a text larger than
     the capacity is split, into full containers and one rest.  A text without tokens takes no room but has its row.  Rows
     with null or repeated ``doc_id`` are packed each.  A table without rows gives none.  A text is tokenized once for all
     capacities.

@@ -263,6 +263,39 @@ def test_packing(spark):
     assert packing.pack(rows.where("false"), "doc_id", "text", [(1, 64)]).count() == 0
 
 
+def test_merging_is_bounded(spark):
+    """4,096 partitions with 64 open windows each: no group of any round holds more than FAN_IN * windows."""
+    windows, capacities = 64, {1: 1000}
+    left = spark.range(4096 * windows).selectExpr("1 AS spec_id", "CAST(id DIV 64 AS int) AS part", "id % 64 AS window", "1 + pmod(xxhash64(id), 900) AS n_tokens", "CAST(id DIV 64 AS int) AS grp")
+    total, done, rounds = left.agg(F.sum("n_tokens")).first()[0], 0, 0
+    containers = 0
+    while left is not None:
+        most = left.groupBy(F.floor(F.col("grp") / packing.FAN_IN)).count().agg(F.max("count")).first()[0]
+        assert most <= packing.FAN_IN * windows
+        moves = packing.merging_round(left, capacities, windows).cache()
+        last = moves.agg(F.max("grp")).first()[0] == 0
+        ended = moves.where("part = to_part AND window = to_window" + ("" if last else " AND NOT passed_on")).agg(F.sum("n_tokens"), F.count(F.lit(1)), F.max("n_tokens")).first()
+        done, containers, rounds = done + (ended[0] or 0), containers + ended[1], rounds + 1
+        assert (ended[2] or 0) <= 1000
+        left = None if last else packing.passed_on(moves)
+    assert done == total and rounds == 3 and total / (containers * 1000) > 0.97
+
+
+@settings(max_examples=60, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.integers(1, 2), st.integers(0, 5), st.integers(1, 99)), max_size=40), st.integers(1, 5))
+def test_merged_windows(sizes, windows):
+    rows = [(spec, part, n, size) for n, (spec, part, size) in enumerate(sizes)]
+    moves = packing.merge_windows(rows, {1: 100, 2: 130}, windows)
+    assert sorted(m[:3] for m in moves) == sorted(r[:3] for r in rows)
+    fill = {}
+    for spec, part, window, size in rows:
+        to = next(m for m in moves if m[:3] == (spec, part, window))
+        fill.setdefault((spec, *to[3:5]), [0, to[5], to[6]])[0] += size
+    assert all(total == told <= {1: 100, 2: 130}[key[0]] for key, (total, told, _) in fill.items())
+    for spec in (1, 2):
+        assert sum(on for key, (_, _, on) in fill.items() if key[0] == spec) <= windows
+
+
 def test_token_counts():
     text = "Some words, numbers 123 and more. " * 20_000
     assert tokens.count_tokens(text) == len(tokens.tokenizer().encode_ordinary(text))
