@@ -53,6 +53,11 @@ NOISE_WORDS = tuple(
 )
 PRONOUN_LEADS = tuple("someone everyone anyone something everything anything this that these those their them".split())
 MARKUP_TOKENS = tuple("img src href alt nbsp http https jpg jpeg png gif webp iframe script style class".split())
+MARKUP_PHRASES = ("img src", "src href", "href img", "alt text", "highlighting independent publications")
+MALFORMED_PHRASES = (
+    "secretary of defense rock", "exchange commission", "many americans", "top-right quadrant", "labor day", "golden state", "world war",
+    "le guin", "packy mc", "native american", "technology review", "census bureau", "air force", "biggest film bombed",
+)
 MALFORMED_TOKENS = tuple("you your can could should would will may might must".split())
 MALFORMED_STARTS = tuple("as because while when where why how".split())
 WEAK_ENDS = tuple("like from with without into onto about toward towards".split())
@@ -67,3 +72,5 @@ SENTENCE_LEADS = tuple(
 SOURCE_PRIORITY = {"known_entity": 4, "phrase_lexicon": 3, "heuristic_entity": 2, "yake": 1}
 SOURCE_SCORE = {"known_entity": 0.05, "phrase_lexicon": 0.06, "heuristic_entity": 0.08}
 COMMONNESS = 4.75
+#: Phrases up to which a lexicon is broadcast: some hundred kilobytes.
+SMALL_LEXICON = 10_000

@@ -13,7 +13,7 @@ from colophon.functions import text as T
 from colophon.functions import vectors as V
 from colophon.operators.components import components
 from colophon.operators.skew import skew_join
-from colophon.session import cut
+from colophon.session import cut, stored
 
 # Finding topics in texts.
 
@@ -44,12 +44,23 @@ def phrase_lexicon(
     return result if size is None else result.orderBy(F.round("quality", 9).desc(), "phrase").limit(size)
 
 
-def lexicon_phrases(documents: DataFrame, doc_id: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, keyword, occurrences): how often each phrase of the lexicon stands in a document."""
+def lexicon_phrases(documents: DataFrame, doc_id: str, text: str, lexicon: DataFrame, small: int = D.SMALL_LEXICON) -> DataFrame:
+    """(doc_id, keyword, occurrences): how often each phrase of the lexicon stands in a document.
+
+    The lexicon is written down and measured first: runs of words of its lengths alone are made, and with at most ``small``
+    phrases they meet it before they are shuffled; a larger one meets the counts.
+    """
+    known = stored(lexicon.select(F.col("phrase").alias("keyword")).distinct(), n="count(1)", least="min(size(split(keyword, ' ')))", most="max(size(split(keyword, ' ')))")
+    lengths = range(known.observed["least"] or 1, (known.observed["most"] or 0) + 1)
     tokens = T.words(F.col(text), T.PHRASE_WORD)
-    grams = documents.select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(*[T.ngrams(tokens, n) for n in (2, 3, 4)])).alias("keyword"))
+    if not lengths:
+        return documents.where(F.lit(False)).select(F.col(doc_id).alias("doc_id"), F.lit("").alias("keyword"), F.lit(0).cast("long").alias("occurrences"))
+    rows = documents.select(F.col(doc_id).alias("doc_id"), tokens.alias("tokens"))
+    grams = rows.select("doc_id", F.explode(F.concat(*[T.ngrams(F.col("tokens"), n) for n in lengths])).alias("keyword"))
+    if known.observed["n"] <= small:
+        grams = grams.join(F.broadcast(known.frame), "keyword", "left_semi")
     counts = grams.groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("occurrences"))
-    return skew_join(counts, lexicon.select(F.col("phrase").alias("keyword")), ["keyword"], "left_semi", ["doc_id"])
+    return counts if known.observed["n"] <= small else skew_join(counts, known.frame, ["keyword"], "left_semi", ["doc_id"])
 
 
 def known_entities(documents: DataFrame, doc_id: str, text: str, entities: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -127,8 +138,9 @@ def suppression_reason(keyword: Column, ngram_size: Column, occurrences: Column,
         (F.coalesce(blocked, F.lit(False)), "blocklist"),
         (k.isin([*D.PROTECTED, *canonical]), None),
         (k.isin(list(D.BOILERPLATE)), "boilerplate_phrase"),
+        (k.isin(list(D.MALFORMED_PHRASES)), "malformed_phrase"),
         (~single & (first.isin(list(D.MALFORMED_STARTS)) | has(D.MALFORMED_TOKENS)), "malformed_phrase"),
-        (has(D.MARKUP_TOKENS), "markup_artifact"),
+        (k.isin(list(D.MARKUP_PHRASES)) | has(D.MARKUP_TOKENS), "markup_artifact"),
         (single & k.isin(list(D.NOISE_WORDS)), "noise_word"),
         (~single & first.isin(list(D.PRONOUN_LEADS)), "pronoun_lead"),
         (~single & last.isin(list(D.WEAK_ENDS)), "weak_phrase"),
@@ -187,12 +199,21 @@ def domain_boost(keywords: DataFrame, zipf: DataFrame, total: int, frequency: st
 
 def reranked(topics: DataFrame, documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, keyword, adjusted, rank): score over the product of its boosts - domain (``boost``), position in the text,
-    spread, number of sources, protection; rank 1 is the smallest."""
-    rows = topics.join(documents.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")), "doc_id")
-    at = F.position(F.col("keyword"), F.col("_text"))
-    first = F.when(at > 0, (at - 1) / F.greatest(F.length("_text"), F.lit(1))).otherwise(F.lit(1.0))
-    opening = F.exists(F.slice(F.filter(F.split("_text", r"\n+"), lambda x: x != ""), 1, 12), lambda x: (F.length(F.trim(x)) <= 120) & F.contains(x, F.col("keyword")))
-    position = F.least(F.lit(1.6), (1 + 0.35 * (1 - first)) * F.when(opening, F.lit(1.2)).otherwise(F.lit(1.0)))
+    spread, number of sources, protection; rank 1 is the smallest.
+
+    A keyword's position is that of its first occurrence in whole words.  A document's topics, few as they are, meet its text
+    as one row, so that the text is moved once."""
+    own = F.struct(*[c for c in topics.columns if c != "doc_id"])
+    grouped = topics.groupBy("doc_id").agg(F.collect_list(own).alias("_own"))
+    texts = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_raw"))
+    texts = grouped.join(texts, "doc_id").withColumns({"_text": F.lower("_raw"), "_lines": F.slice(F.split("_raw", r"\n+"), 1, 12)})
+    pattern = lambda k: F.concat(F.lit(r"\b"), F.regexp_replace(F.regexp_replace(k, r"([^\p{L}\p{N}_\s])", r"\\$1"), r"\s+", r"\\s+"), F.lit(r"\b"))
+    heads = F.filter(F.col("_lines"), lambda x: (F.length(F.trim(x)) <= 120) | x.rlike(r"^[#>*\-\s]"))
+    features = lambda t: F.struct(t.alias("t"), F.regexp_instr(F.col("_text"), pattern(t["keyword"])).alias("at"), F.exists("_heads", lambda x: F.contains(x, t["keyword"])).alias("opening"))
+    texts = texts.withColumn("_heads", F.transform(heads, lambda x: F.lower(F.trim(x))))
+    rows = texts.select("doc_id", F.length("_text").alias("_size"), F.explode(F.transform("_own", features)).alias("f")).select("doc_id", "_size", "f.t.*", "f.at", "f.opening")
+    first = F.when(F.col("at") > 0, (F.col("at") - 1) / F.greatest(F.col("_size"), F.lit(1))).otherwise(F.lit(1.0))
+    position = F.least(F.lit(1.6), (1 + 0.35 * (1 - first)) * F.when(F.col("opening"), F.lit(1.2)).otherwise(F.lit(1.0)))
     spread = F.least(F.lit(1.6), 1 + 0.08 * F.log2(F.greatest(F.col("occurrences"), F.lit(1)) + 1) + 0.08 * F.log2(F.greatest(F.col("sentence_spread"), F.lit(1)) + 1))
     sources = F.least(F.lit(1.35), 1 + 0.08 * F.greatest(F.size("provenance") - 1, F.lit(0)))
     protected = F.when(F.col("keyword").isin(list(D.PROTECTED)), F.lit(1.12)).otherwise(F.lit(1.0))
@@ -295,12 +316,12 @@ def clustered(corpus: DataFrame, aliases: DataFrame | None = None, least: float
         edges = edges.join(corpus.select(F.col("keyword").alias("a")), "a", "left_semi").join(corpus.select(F.col("keyword").alias("b")), "b", "left_semi")
     groups = components(edges, "a", "b").withColumnRenamed("node", "keyword")
     rows = cut(corpus.join(groups, "keyword", "left").withColumn("root", F.coalesce("root", "keyword")))
-    best = rows.groupBy("root").agg(F.min_by("keyword", F.struct("avg_score", "keyword")).alias("keyword"), F.sum("doc_frequency").alias("merged"), F.count(F.lit(1)).alias("members"))
+    first = F.min_by(F.struct(*corpus.columns), F.struct("avg_score", "keyword", "doc_frequency")).alias("first")
+    best = rows.groupBy("root").agg(first, F.sum("doc_frequency").alias("merged"), F.count(F.lit(1)).alias("members"))
     if distinct_issues is not None:
         counted = rows.select("keyword", "root").join(distinct_issues, "keyword").groupBy("root").agg(F.countDistinct("issue_id").alias("merged"))
         best = best.drop("merged").join(counted, "root", "left")
-    kept = corpus.join(best.select("keyword", "merged", "members"), "keyword")
-    return kept.withColumn("doc_frequency", F.col("merged")).drop("merged")
+    return best.select("first.*", "merged", "members").withColumn("doc_frequency", F.col("merged")).drop("merged")
 
 
 def timeline(topics: DataFrame, issues: DataFrame) -> DataFrame:
@@ -330,6 +351,24 @@ def topic_confidence(sources: Column, frequency: Column, suppressions: Column) -
     return F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.greatest(tier - F.when(d > 0, 1).otherwise(0), F.lit(0)) + 1)
 
 
+def rebuilt(topics: DataFrame, issues: DataFrame, zipf: DataFrame, total: int, blocked: DataFrame | None = None, exempt: Sequence[str] = ()) -> DataFrame:
+    """One row per topic of the rebuilt corpus: (keyword, keyword_display, doc_frequency, members, aggregate_score, topic_type,
+    burst_score, burst_quarter, confidence).
+
+    The aggregate of all issues' topics is weighted by its domain boost, phrases covered by longer ones go, near-duplicate
+    spellings merge; what is left gets its strongest quarter and its confidence.  The aggregate is written down once.
+    """
+    corpus = cut(domain_boost(corpus_topics(topics, issues, total, blocked), zipf, total))
+    gone = nested_fragments(corpus.select("keyword").distinct(), topics.join(corpus.select("keyword"), "keyword", "left_semi"), exempt=exempt)
+    kept = cut(corpus.join(gone, "keyword", "left_anti"))
+    quality = topics.groupBy("keyword").agg(F.coalesce(F.max(F.size("provenance")), F.lit(1)).alias("s"), F.sum(F.col("suppression_reason").isNotNull().cast("long")).alias("d"))
+    rows = clustered(kept).join(bursts(timeline(topics, issues)), "keyword", "left").join(quality, "keyword", "left")
+    return rows.select(
+        "keyword", "keyword_display", "doc_frequency", "members", (F.col("aggregate_score") * F.col("boost")).alias("aggregate_score"), "topic_type",
+        "burst_score", "burst_quarter", topic_confidence(F.col("s"), F.col("doc_frequency"), F.col("d")).alias("confidence"),
+    )
+
+
 def weighted_score(frequency: Column, distinctiveness: Column, mean: Column, ngram: Column, sources: Column) -> Column:
     good = (frequency > 0) & (mean > 0) & ~F.isnan(mean)
     score = frequency * F.greatest(F.lit(0.01), distinctiveness) / mean * F.when(ngram >= 2, 1.5).otherwise(1.0) * F.when(sources >= 2, 1.2).otherwise(1.0)

@@ -9,6 +9,7 @@ from colophon.functions import dictionaries as D
 from colophon.functions import text as T
 from colophon.operators import topics, yake
 from colophon.plans.base import Queries
+from colophon.session import stored
 from colophon.sources.tables import table
 
 Q = Queries()
@@ -109,7 +110,7 @@ def yake_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add()
 def extracted_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates judged and built: the first 25 of each issue that no rule suppresses, reranked."""
-    rows = _candidates(spark, sf_dir)
+    rows = stored(_candidates(spark, sf_dir)).frame  # each text is searched once, its candidates are used three times
     ratios = topics.component_ratios(rows)
     judged = rows.join(ratios, ["doc_id", "keyword"], "left")
     reason = topics.suppression_reason(F.col("keyword"), F.size(F.split("keyword", " ")), F.col("occurrences"), F.col("sentence_spread"), F.lit(False), F.col("ratio"))
@@ -122,21 +123,31 @@ def extracted_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.where(F.col("rank") <= TOP)
 
 
-@Q.add(
-    f"""WITH r AS (SELECT issue_id, keyword, lower(keyword) AS k, list_filter(regexp_split_to_array(lower(keyword), '\\s+'), lambda t: t <> '') AS tokens, ngram_size, coalesce(evidence.mentions, 0) AS n FROM issue_topics WHERE keyword IS NOT NULL)
-SELECT issue_id, keyword, CASE WHEN k = 'team rituals' THEN 'blocklist' WHEN k IN ({_listed(D.PROTECTED)}) THEN NULL WHEN k IN ({_listed(D.BOILERPLATE)}) THEN 'boilerplate_phrase'
+_REASON_SQL = f"""CASE WHEN k = 'team rituals' THEN 'blocklist' WHEN k IN ({_listed(D.PROTECTED)}) THEN NULL WHEN k IN ({_listed(D.BOILERPLATE)}) THEN 'boilerplate_phrase' WHEN k IN ({_listed(D.MALFORMED_PHRASES)}) THEN 'malformed_phrase'
 WHEN NOT single AND (tokens[1] IN ({_listed(D.MALFORMED_STARTS)}) OR len(list_intersect(tokens, [{_listed(D.MALFORMED_TOKENS)}])) > 0) THEN 'malformed_phrase'
-WHEN len(list_intersect(tokens, [{_listed(D.MARKUP_TOKENS)}])) > 0 THEN 'markup_artifact' WHEN single AND k IN ({_listed(D.NOISE_WORDS)}) THEN 'noise_word'
+WHEN k IN ({_listed(D.MARKUP_PHRASES)}) OR len(list_intersect(tokens, [{_listed(D.MARKUP_TOKENS)}])) > 0 THEN 'markup_artifact' WHEN single AND k IN ({_listed(D.NOISE_WORDS)}) THEN 'noise_word'
 WHEN NOT single AND tokens[1] IN ({_listed(D.PRONOUN_LEADS)}) THEN 'pronoun_lead' WHEN NOT single AND tokens[-1] IN ({_listed(D.WEAK_ENDS)}) THEN 'weak_phrase'
-WHEN single AND length(k) < 4 AND n < 20 THEN 'short_low_freq' WHEN single AND regexp_matches(k, '{D.WEAK_SUFFIX}') AND n < 20 THEN 'weak_suffix' WHEN single AND n < 4 THEN 'weak_singleton' END AS reason
-FROM (SELECT *, coalesce(ngram_size, 0) = 1 OR len(tokens) = 1 AS single FROM r)"""
+WHEN single AND coalesce(ratio, 0.0) >= 0.25 THEN 'phrase_component' WHEN single AND length(k) < 4 AND n < 20 THEN 'short_low_freq' WHEN single AND regexp_matches(k, '{D.WEAK_SUFFIX}') AND n < 20 AND spread < 4 THEN 'weak_suffix'
+WHEN single AND n < 4 AND spread < 2 THEN 'weak_singleton' END"""
+
+
+@Q.add(
+    f"""WITH t AS (SELECT issue_id, keyword, lower(keyword) AS k, ngram_size, coalesce(evidence.mentions, 0) AS n, coalesce(len(provenance), 0) AS spread FROM issue_topics WHERE keyword IS NOT NULL),
+c AS (SELECT issue_id, k, max(n) AS n FROM t GROUP BY 1, 2),
+parts AS (SELECT issue_id, k, sum(n) AS n FROM (SELECT issue_id, unnest(list_distinct(string_split(k, ' '))) AS k, n FROM c WHERE contains(k, ' ')) GROUP BY 1, 2),
+ratios AS (SELECT c.issue_id, c.k, least(1.0, coalesce(p.n, 0) / CAST(c.n AS DOUBLE)) AS ratio FROM c LEFT JOIN parts p USING (issue_id, k) WHERE NOT contains(k, ' ') AND c.n > 0)
+SELECT issue_id, keyword, {_REASON_SQL} AS reason
+FROM (SELECT t.*, ratio, list_filter(regexp_split_to_array(k, '\\s+'), lambda t: t <> '') AS tokens, coalesce(ngram_size, 0) = 1 OR len(list_filter(regexp_split_to_array(k, '\\s+'), lambda t: t <> '')) = 1 AS single FROM t LEFT JOIN ratios USING (issue_id, k))"""
 )
 def suppression_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which rule, if any, suppresses each stored topic."""
-    rows = _topics(spark, sf_dir).where("keyword IS NOT NULL")
-    blocked = F.lower("keyword") == "team rituals"
-    reason = topics.suppression_reason(F.col("keyword"), F.col("ngram_size"), F.col("evidence.mentions"), F.lit(0), blocked, F.lit(0.0))
-    return rows.select("issue_id", "keyword", reason.alias("reason"))
+    """Which rule, if any, suppresses each stored topic.  The stored topics hold no spread over sentences; the number of their
+    sources stands for it here."""
+    rows = _topics(spark, sf_dir).where("keyword IS NOT NULL").select("issue_id", "keyword", F.lower("keyword").alias("k"), "ngram_size", F.coalesce("evidence.mentions", F.lit(0)).alias("n"), F.size(F.coalesce("provenance", F.array().cast("array<string>"))).alias("spread"))
+    candidates = rows.groupBy(F.col("issue_id").alias("doc_id"), F.col("k").alias("keyword")).agg(F.max("n").alias("occurrences"))
+    ratios = topics.component_ratios(candidates).select(F.col("doc_id").alias("issue_id"), F.col("keyword").alias("k"), "ratio")
+    judged = rows.join(ratios, ["issue_id", "k"], "left")
+    reason = topics.suppression_reason(F.col("keyword"), F.col("ngram_size"), F.col("n"), F.col("spread"), F.col("k") == "team rituals", F.col("ratio"))
+    return judged.select("issue_id", "keyword", reason.alias("reason"))
 
 
 @Q.add(
@@ -236,7 +247,15 @@ def similar_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.similar_spellings(names).select("a", "b", F.round("dice", 6).alias("dice"))
 
 
-@Q.add()
+_CLUSTER_SQL = f"""
+pairs AS (SELECT keyword, avg_score, doc_frequency, {_PAIRS_SQL.replace("k,", "lower(keyword),").replace("(k)", "(keyword)")} AS p FROM {{0}}),
+near AS (SELECT a.keyword AS a, b.keyword AS b FROM pairs a JOIN pairs b ON a.keyword <> b.keyword WHERE 2.0 * len(list_intersect(a.p, b.p)) / (len(a.p) + len(b.p)) >= 0.85),
+reach(a, b) AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+roots AS (SELECT c.keyword, least(c.keyword, coalesce(min(r.b), c.keyword)) AS root FROM {{0}} c LEFT JOIN reach r ON r.a = c.keyword GROUP BY 1),
+merged AS (SELECT first(keyword ORDER BY avg_score, keyword, doc_frequency) AS keyword, first(cluster ORDER BY avg_score, keyword, doc_frequency) AS cluster, sum(doc_frequency) AS doc_frequency, count(*) AS members FROM {{0}} c JOIN roots USING (keyword) GROUP BY root)"""
+
+
+@Q.add(_CORPUS_SQL.replace("WITH k AS", "WITH RECURSIVE k AS") + "," + _CLUSTER_SQL.format("corpus") + " SELECT keyword, CAST(doc_frequency AS BIGINT) AS doc_frequency, members FROM merged")
 def clustered_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus topics with near-duplicates merged."""
     return topics.clustered(_corpus(spark, sf_dir)).select("keyword", "doc_frequency", "members")
@@ -273,10 +292,10 @@ def topic_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add(
     """SELECT keyword, round(CASE WHEN doc_frequency > 0 AND avg_score > 0 AND NOT isnan(avg_score) THEN doc_frequency * greatest(0.01, distinctiveness) / avg_score * CASE WHEN ngram_size >= 2 THEN 1.5 ELSE 1.0 END ELSE 0.0 END, 6) AS weighted,
-round(CASE WHEN doc_frequency > 0 AND total_issues > 0 THEN greatest(0.01, least(1.0, 1 - doc_frequency / CAST(total_issues AS DOUBLE))) ELSE 0.0 END, 6) AS share FROM corpus_topics WHERE distinctiveness IS NOT NULL AND avg_score IS NOT NULL AND doc_frequency IS NOT NULL"""
+round(CASE WHEN doc_frequency > 0 AND total_issues > 0 THEN greatest(0.01, least(1.0, 1 - doc_frequency / CAST(total_issues AS DOUBLE))) ELSE 0.0 END, 6) AS share FROM corpus_topics"""
 )
 def alternative_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "corpus_topics").where("distinctiveness IS NOT NULL AND avg_score IS NOT NULL AND doc_frequency IS NOT NULL")
+    rows = table(spark, sf_dir, "corpus_topics")
     weighted = topics.weighted_score(F.col("doc_frequency"), F.col("distinctiveness"), F.col("avg_score"), F.col("ngram_size"), F.lit(1))
     return rows.select("keyword", F.round(weighted, 6).alias("weighted"), F.round(topics.corpus_share(F.col("doc_frequency"), F.col("total_issues")), 6).alias("share"))
 
@@ -337,6 +356,37 @@ SELECT year, quarter, word, round(share, 6) AS share, round(share / overall, 6)
 QUALIFY place <= 5"""
 
 
+_REBUILD_SQL = (
+    _CORPUS_SQL.replace("WITH k AS", "WITH RECURSIVE k AS")
+    + _ZIPF_SQL
+    + f""", x AS (SELECT DISTINCT keyword, array_to_string(regexp_extract_all(lower(keyword), '[a-z][a-z0-9''-]*'), ' ') AS phrase FROM corpus),
+m AS (SELECT keyword, avg(zipf) AS mean FROM (SELECT keyword, unnest(regexp_extract_all(lower(keyword), '[a-z][a-z0-9''-]*')) AS term FROM corpus) LEFT JOIN zipf USING (term) WHERE term NOT IN ({_listed(D.KEYWORD_STOPWORDS)}) GROUP BY 1),
+b AS (SELECT keyword, CASE WHEN mean IS NULL THEN coalesce(z.zipf, 4.75) ELSE greatest(coalesce(z.zipf, 0), mean) END AS commonness FROM x LEFT JOIN m USING (keyword) LEFT JOIN zipf z ON z.term = x.phrase),
+boosts AS (SELECT cluster, greatest(0.35, least(2.5, 1 + 0.28 * (5.25 - commonness + 0.12 * ln(1 + 100.0 * doc_frequency / (SELECT n FROM total))))) AS boost FROM corpus JOIN b USING (keyword)),
+carried AS (SELECT DISTINCT keyword, issue_id FROM issue_topics WHERE suppression_reason IS NULL),
+nested AS (SELECT a.keyword AS k, b.keyword AS l FROM corpus a JOIN corpus b ON a.keyword <> b.keyword AND contains(' ' || b.keyword || ' ', ' ' || a.keyword || ' ') WHERE contains(a.keyword, ' ')),
+fragments AS (SELECT DISTINCT k AS keyword FROM (SELECT k, l, count(*) AS n FROM nested JOIN carried c ON c.keyword = k GROUP BY 1, 2) JOIN (SELECT k, l, count(*) AS both_ FROM nested JOIN carried x ON x.keyword = k JOIN carried y ON y.keyword = l AND y.issue_id = x.issue_id GROUP BY 1, 2) USING (k, l) WHERE both_ >= 0.8 * n),
+kept AS (SELECT c.*, boost FROM corpus c JOIN boosts USING (cluster) ANTI JOIN fragments USING (keyword)),"""
+    + _CLUSTER_SQL.format("kept")
+    + f""", line AS ({_LINE_SQL}), q AS (SELECT keyword, year * 4 + (greatest(1, least(12, month)) - 1) // 3 AS q, sum(occurrences) AS n FROM line GROUP BY 1, 2),
+gq AS (SELECT keyword, max(n) AS top, sum(n) AS total, max(q) - min(q) + 1 AS span FROM q GROUP BY 1), fq AS (SELECT keyword, min(q) AS q FROM q JOIN gq USING (keyword) WHERE n = top GROUP BY 1),
+burst AS (SELECT keyword, top / (total / CAST(span AS DOUBLE)) AS burst_score, (q // 4) || '-Q' || (q % 4 + 1) AS burst_quarter FROM gq JOIN fq USING (keyword)),
+quality AS (SELECT keyword, coalesce(max(len(provenance)), 1) AS s, sum(CASE WHEN suppression_reason IS NOT NULL THEN 1 ELSE 0 END) AS d FROM issue_topics GROUP BY 1)
+SELECT m.keyword, keyword_display, CAST(m.doc_frequency AS BIGINT) AS doc_frequency, members, round(aggregate_score * boost, 4) AS aggregate_score, topic_type, round(burst_score, 6) AS burst_score, burst_quarter,
+['low', 'medium', 'high'][greatest(CASE WHEN coalesce(s, 1) >= 2 AND m.doc_frequency >= 5 THEN 2 WHEN coalesce(s, 1) >= 2 OR m.doc_frequency >= 3 THEN 1 ELSE 0 END - CASE WHEN coalesce(d, 0) > 0 THEN 1 ELSE 0 END, 0) + 1] AS confidence
+FROM merged m JOIN kept USING (cluster) LEFT JOIN burst ON burst.keyword = m.keyword LEFT JOIN quality ON quality.keyword = m.keyword"""
+)
+
+
+@Q.add(_REBUILD_SQL)
+def rebuilt_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus table of a whole rebuild: aggregate, boost, fragments, clusters, bursts, confidence."""
+    blocked = spark.createDataFrame([("team rituals",)], "keyword string")
+    zipf = topics.background_zipf(table(spark, sf_dir, "documents"), "text")
+    rows = topics.rebuilt(_topics(spark, sf_dir), table(spark, sf_dir, "issues"), zipf, _active(spark, sf_dir).count(), blocked)
+    return rows.withColumns({"aggregate_score": F.round("aggregate_score", 4), "burst_score": F.round("burst_score", 6)})
+
+
 @Q.add(_DRIFT_SQL)
 def terminology_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that surround one term more in a quarter than over all."""
