@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
@@ -28,6 +29,21 @@ def words(raw: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(raw, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
+#: Letters with diacritics and what they fold to, by canonical decomposition.
+_FOLDS = {chr(c): d[0] for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()}
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def fold(raw: str) -> str:
+    """``raw`` without diacritics."""
+    return raw.translate(str.maketrans({**_FOLDS, **dict.fromkeys(_MARKS)}))
+
+
+def folded(raw: Column) -> Column:
+    """:func:`fold` for a column."""
+    return F.translate(raw, "".join(_FOLDS) + _MARKS, "".join(_FOLDS.values()))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once, also where lambdas would evaluate it for each element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("messages", "archive", "search", "topics", "ingest", "jobs")
-FLAGSHIP = "hybrid_search"
+MODULES = ("messages", "archive", "search", "text_search", "topics", "ingest", "jobs")
+FLAGSHIP = "searched"
 
 
 def _modules():

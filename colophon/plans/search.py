@@ -14,7 +14,6 @@ from colophon.sources.tables import table
 
 Q = Queries()
 
-FIELDS = tuple(D.FIELD_WEIGHTS)
 WORDS_SQL = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
 
 
@@ -22,50 +21,6 @@ def _issues(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "issues").where(F.col("status") == "active").select("id", *columns)
 
 
-def _bm25_sql(groups: list[list[str]]) -> str:
-    tokens = ", ".join(f"{WORDS_SQL.format(f)} AS t_{f}" for f in FIELDS)
-    padded = lambda f: f"(' ' || array_to_string(t_{f}, ' ') || ' ')"
-    count = lambda f, g: (
-        f"len(list_filter(t_{f}, lambda x: x = '{g[0]}'))" if len(g) == 1 else f"len(list_filter(generate_series(1, len(t_{f})), lambda i: array_to_string(t_{f}[i:i+{len(g) - 1}], ' ') = '{' '.join(g)}'))"
-    )
-    del padded
-    f_sql = ", ".join("(" + " + ".join(f"{w} * {count(f, g)}" for f, w in D.FIELD_WEIGHTS.items()) + f") AS f{i}" for i, g in enumerate(groups))
-    length = " + ".join(f"len(t_{f})" for f in FIELDS)
-    n = len(groups)
-    idf = lambda i: f"greatest(ln((n - h{i} + 0.5) / (h{i} + 0.5)), 1e-6)"
-    terms = " + ".join(f"{idf(i)} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / av))" for i in range(n))
-    return f"""WITH t AS (SELECT id, {tokens} FROM issues WHERE status = 'active'),
-c AS (SELECT id, CAST({length} AS DOUBLE) AS dl, {f_sql} FROM t),
-s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS av, {", ".join(f"CAST(sum(CASE WHEN f{i} > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS h{i}" for i in range(n))} FROM c),
-scored AS (SELECT id AS doc_id, -({terms}) AS score FROM c, s WHERE {" AND ".join(f"f{i} > 0" for i in range(n))})
-SELECT doc_id, round(score, 6) AS bm25, row_number() OVER (ORDER BY score, doc_id) AS rank FROM scored ORDER BY score, doc_id"""
-
-
-def _lexical(spark: SparkSession, sf_dir: str, raw: str, top: int = 20) -> DataFrame:
-    groups = query_language.match_groups(query_language.parse_query(raw))
-    scores = lexical.bm25(_issues(spark, sf_dir, *FIELDS), "id", groups)
-    return lexical.ranked(scores, top).select("doc_id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
-
-
-@Q.add(_bm25_sql([["market"], ["season"]]) + " LIMIT 20")
-def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two words, both required: the 20 best issues."""
-    return _lexical(spark, sf_dir, "market season")
-
-
-@Q.add(_bm25_sql([["never", "quite", "recovered"], ["lattice"]]) + " LIMIT 20")
-def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A phrase and a word."""
-    return _lexical(spark, sf_dir, '"never quite recovered" lattice')
-
-
-@Q.add()
-def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words match by their Porter stem."""
-    scores = lexical.bm25(_issues(spark, sf_dir, *FIELDS), "id", [["gardeners"], ["mapped"]], stemmed=True)
-    return lexical.ranked(scores, 20)
-
-
 @Q.add(
     "WITH w AS (SELECT id AS doc_id, unnest("
     + WORDS_SQL.format("title")
