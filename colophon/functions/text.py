@@ -107,10 +107,6 @@ def stem(word: Column) -> Column:
     return F.when(F.length(low) < 4, low).otherwise(first(first(first(low, plural), derived), doubled))
 
 
-def stem_phrase(phrase: Column) -> Column:
-    return F.array_join(F.transform(F.filter(F.split(F.lower(phrase), r"\s+"), lambda w: w != ""), stem), " ")
-
-
 def character_bigrams(raw: Column) -> Column:
     """Set of the pairs of neighbouring characters."""
     n = F.length(raw)
@@ -191,3 +187,13 @@ def any_of(conditions: Iterable[Column]) -> Column:
 def all_of(conditions: Iterable[Column]) -> Column:
     """Conjunction of the conditions; true if there are none."""
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def escaped(raw: Column, keep_marks: bool = False) -> Column:
+    """Text for a page: ``& < > " '`` as references; ``keep_marks`` leaves the marks of a highlight as they are."""
+    for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        raw = F.replace(raw, F.lit(sign), F.lit(reference))
+    if keep_marks:
+        for mark in ("<mark>", "</mark>"):
+            raw = F.replace(raw, F.lit(mark.replace("<", "&lt;").replace(">", "&gt;")), F.lit(mark))
+    return raw

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from colophon.functions import dictionaries as D
 from colophon.functions import text as T
 from colophon.operators.fusion import snippet_section
+from colophon.operators.skew import skew_join
 
 # Lines of a page that say something about it.
 _METADATA_LINE = r"(?i)^((Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\s+\d|\d+\s*Share$|Share\s*this|Subscribe|(Share|Like|Comment|Reply)$)"
@@ -170,15 +171,16 @@ def snippet_sections(rows: DataFrame, doc_id: str, snippet: str, markdown: str)
 def duplicate_decisions(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """(id, duplicate_of, reason, unchanged): the existing document that each incoming one repeats, found by address, else by
     content hash, else by number and date of an active one; the first by identifier among several."""
-    one = lambda keys, rows, name: rows.dropna(subset=keys).groupBy(*keys).agg(F.min("id").alias(name))
+    one = lambda keys, rows, name: rows.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct("id", F.col("content_hash").alias("hash"))).alias(name))
     by_url = one(["source_url"], existing, "_url")
     by_hash = one(["content_hash"], existing, "_hash")
     by_date = one(["issue_number", "published_at"], existing.where(F.col("status") == "active"), "_date")
-    same = existing.select(F.col("id").alias("duplicate_of"), F.col("content_hash").alias("_their_hash"))
-    rows = incoming.join(by_url, "source_url", "left").join(by_hash, "content_hash", "left").join(by_date, ["issue_number", "published_at"], "left")
+    rows = incoming.select("id", "source_url", "content_hash", "issue_number", "published_at")
+    for keys, known in ((["source_url"], by_url), (["content_hash"], by_hash), (["issue_number", "published_at"], by_date)):
+        rows = skew_join(rows, known, keys, "left", ["id"])  # one address or hash may be that of very many documents
     reason = F.when(F.col("_url").isNotNull(), "source_url").when(F.col("_hash").isNotNull(), "content_hash").when(F.col("_date").isNotNull(), "issue_number_date")
-    rows = rows.select("id", "content_hash", F.coalesce("_url", "_hash", "_date").alias("duplicate_of"), reason.alias("reason")).join(same, "duplicate_of", "left")
-    return rows.select("id", "duplicate_of", "reason", F.coalesce(F.col("content_hash") == F.col("_their_hash"), F.lit(False)).alias("unchanged"))
+    found = F.coalesce("_url", "_hash", "_date")
+    return rows.select("id", found["id"].alias("duplicate_of"), reason.alias("reason"), F.coalesce(F.col("content_hash") == found["hash"], F.lit(False)).alias("unchanged"))
 
 
 def vector_records(rows: DataFrame, issues: DataFrame) -> DataFrame:

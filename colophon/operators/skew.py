@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from colophon.session import stored
+
 HOT_ROWS = 200_000
 MAX_HOT = 1024
 SALTS = 64
@@ -58,6 +60,25 @@ def skew_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def numbered_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``df`` with ``out``: 1, 2, ... within ``group`` along ``order`` (columns that tell the rows of a group apart).
+
+    No task holds a group: rows are split into ranges of group and order, written down with the number of their range, and
+    numbered within it, after the rows that the group has in earlier ranges.  Nulls in ``group`` form a group.
+    """
+    group = list(group)
+    ranges = stored(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())).frame
+    counts = ranges.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*group).orderBy("_range")) - F.col("_n")
+    starts = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_range").alias("_g_range"), before.alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*group, "_range").orderBy(*order))
+    same = F.col("_range") == F.col("_g_range")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    joined = ranges.withColumn("_inside", inside).join(starts, same)
+    return joined.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(out))
+
+
 def rank_within(
     df: DataFrame,
     group: Sequence[str],

@@ -455,3 +455,25 @@ def drift(documents: DataFrame, text: str, keyword: str, window: int = 5, top: i
     scored = scored.select("year", "quarter", "word", share.alias("share"), (share / (F.col("word_total") / F.lit(float(total)))).alias("lift"))
     place = F.row_number().over(W.partitionBy("year", "quarter").orderBy(F.round("lift", 9).desc(), F.round("share", 9).desc(), "word"))
     return scored.withColumn("place", place).where(F.col("place") <= top)
+
+
+def audited(extracted: DataFrame, stored_topics: DataFrame) -> DataFrame:
+    """(issue_id, extracted, stored, both_, delta) of two sets of (issue_id, keyword): delta is the share of the extracted that is
+    stored less the share of the stored that is extracted; a share of nothing is 0."""
+    e, s = extracted.withColumn("e", F.lit(1)), stored_topics.withColumn("s", F.lit(1))
+    joined = e.join(s, ["issue_id", "keyword"], "full").where("issue_id IS NOT NULL")
+    counts = joined.groupBy("issue_id").agg(F.count("e").alias("extracted"), F.count("s").alias("stored"), F.count(F.when(F.col("e").isNotNull() & F.col("s").isNotNull(), 1)).alias("both_"))
+    share = lambda n: F.when(F.col(n) > 0, F.col("both_") / F.col(n)).otherwise(F.lit(0.0))
+    return counts.withColumn("delta", share("extracted") - share("stored"))
+
+
+#: Orders of the list of topics; ties go by keyword, nulls come last.
+SORTS = {"frequency": "doc_frequency", "score": "aggregate_score", "burst": "burst_score", "name": None}
+
+
+def sorted_page(corpus: DataFrame, sort: str, limit: int, offset: int = 0) -> DataFrame:
+    """A page of ``corpus`` in one of ``SORTS``, with the ``place`` of each topic; an unknown order counts as ``frequency``."""
+    column = SORTS.get(sort, "doc_frequency")
+    order = [F.col(column).desc_nulls_last()] if column else []
+    page = corpus.orderBy(*order, "keyword").offset(offset).limit(limit)
+    return page.withColumn("place", F.row_number().over(W.orderBy(*order, "keyword")).cast("long") + offset)

@@ -9,13 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def latest(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """One row per key, the first by ``order``; partial ranking before the shuffle keeps hot keys small."""
-    return rows.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
+from colophon.operators.skew import skew_join
 
 
 def upserted(table: DataFrame, changes: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
@@ -44,20 +40,23 @@ def replaced(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.join(rows.select(key).distinct(), key, "left_anti").select(table.columns).unionByName(rows.select(table.columns))
 
 
-def without_orphans(rows: DataFrame, current: DataFrame, key: str) -> DataFrame:
-    return rows.join(current.select(key).distinct(), key, "left_semi")
-
-
 def fenced_edges(edges: DataFrame, snapshot: DataFrame, vectors: DataFrame, fresh: DataFrame) -> DataFrame:
     """Edges (keyword_a, keyword_b, ...) after an incremental rebuild.
 
     ``snapshot`` and ``vectors`` are (keyword, version) as read before and as they stand now.  Edges whose both ends are
     unchanged since the snapshot are replaced by ``fresh`` ones; fresh edges with an end that changed meanwhile are dropped.
+    A keyword may be in any number of edges: the joins salt hot ones.
     """
-    stable = snapshot.join(vectors, ["keyword", "version"], "left_semi").select("keyword")
-    ends = lambda e, how: e.join(stable.withColumnRenamed("keyword", "keyword_a"), "keyword_a", how).join(stable.withColumnRenamed("keyword", "keyword_b"), "keyword_b", how)
-    kept = edges.join(ends(edges, "left_semi").select("keyword_a", "keyword_b").distinct(), ["keyword_a", "keyword_b"], "left_anti")
-    return kept.select(edges.columns).unionByName(ends(fresh, "left_semi").select(edges.columns))
+    stable = snapshot.join(vectors, ["keyword", "version"], "left_semi").select("keyword").distinct()
+
+    def marked(rows: DataFrame) -> DataFrame:
+        for end, other in (("keyword_a", "keyword_b"), ("keyword_b", "keyword_a")):
+            known = stable.select(F.col("keyword").alias(end), F.lit(True).alias(f"_stable_{end}"))
+            rows = skew_join(rows, known, [end], "left", [other])
+        return rows.withColumn("_stable", F.coalesce(F.col("_stable_keyword_a") & F.col("_stable_keyword_b"), F.lit(False)))
+
+    kept = marked(edges).where(~F.col("_stable")).select(edges.columns)
+    return kept.unionByName(marked(fresh).where("_stable").select(edges.columns))
 
 
 def overwrite_partitions(rows: DataFrame, path: str, partition_by: Sequence[str]) -> None:

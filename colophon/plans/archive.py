@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from colophon.operators import upserts
 from colophon.plans.base import Queries
 from colophon.sources.tables import table
+from colophon.streaming import jobs
 
 Q = Queries()
 
@@ -100,8 +101,7 @@ def crawl_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.add("SELECT id, CAST((row_number() OVER (PARTITION BY year ORDER BY id) - 1) // 10 AS BIGINT) AS batch, year FROM issues WHERE status = 'active'")
 def rebuild_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues in batches of ten per year, for jobs of bounded size."""
-    place = F.row_number().over(W.partitionBy("year").orderBy("id")) - 1
-    return _active(spark, sf_dir).select("id", F.floor(place / 10).cast("long").alias("batch"), "year")
+    return jobs.paced(_active(spark, sf_dir).select("id", "year"), "year", "id", 10).select("id", "batch", "year")
 
 
 @Q.add("SELECT id FROM issue_chunks WHERE issue_id NOT IN (SELECT id FROM issues WHERE status = 'active')")

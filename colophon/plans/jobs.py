@@ -46,12 +46,13 @@ def event_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add("SELECT DISTINCT user_id, event_type FROM events")
 def first_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's kinds of events, once each, from a deduplicating stream with bounded state."""
+    """Each user's kinds of events, once each: the stream drops what repeats within a day and forgets older keys, what returns
+    later is dropped where the rows are read."""
     out = _folder(spark, "first")
     rows = jobs.events(spark, sf_dir).withColumn("key", F.concat_ws(":", "user_id", "event_type"))
-    stream = jobs.deduplicated(rows, "key", "ts", "400 days")
+    stream = jobs.deduplicated(rows, "key", "ts", "1 day")
     jobs.run_available(stream, lambda batch, n: batch.select("user_id", "event_type").write.mode("overwrite").parquet(f"{out}/rows/batch={n}"), f"{out}/state")
-    return spark.read.schema("user_id long, event_type string, batch int").parquet(f"{out}/rows").select("user_id", "event_type")
+    return spark.read.schema("user_id long, event_type string, batch int").parquet(f"{out}/rows").select("user_id", "event_type").distinct()
 
 
 @Q.add("SELECT user_id AS user, time_bucket(INTERVAL 6 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 2")
@@ -78,7 +79,7 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_claims_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted transitions of every message, from the stateful operator."""
     out = _folder(spark, "claims")
-    stream = jobs.stateful_claims(jobs.job_changes(jobs.events(spark, sf_dir, "pipeline_jobs")))
+    stream = jobs.stateful_claims(jobs.job_changes(jobs.events(spark, sf_dir, "pipeline_jobs")), remember_ms=None)
     jobs.run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}"), f"{out}/state")
     return spark.read.schema("key string, status string, attempts int, batch int").parquet(f"{out}/rows").select("key", "status", "attempts")
 
@@ -117,4 +118,53 @@ def phase_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("jobs"), F.round(F.avg(ran) / 1000.0, 3).alias("mean_seconds"))
 
 
+@Q.add(
+    """SELECT DISTINCT correlation_id FROM pipeline_jobs j WHERE correlation_id IS NOT NULL
+AND NOT EXISTS (SELECT 1 FROM pipeline_jobs o WHERE o.correlation_id = j.correlation_id AND o.kind <> 'topic-finalize-rebuild' AND o.status IN ('queued', 'processing', 'deferred'))
+AND NOT EXISTS (SELECT 1 FROM pipeline_jobs f WHERE f.correlation_id = j.correlation_id AND f.kind = 'topic-finalize-rebuild')"""
+)
+def runs_to_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of jobs (by correlation) without open ones that nothing finishes yet."""
+    return jobs.ready_to_finish(table(spark, sf_dir, "pipeline_jobs").select("correlation_id", "kind", "status"), "correlation_id")
+
+
+@Q.add("SELECT id, CASE WHEN status = 'queued' AND coalesce(attempts, 0) <= 1 THEN 'processing' ELSE status END AS status, CASE WHEN status = 'queued' AND coalesce(attempts, 0) <= 1 THEN coalesce(attempts, 0) + 1 ELSE attempts END AS attempts FROM pipeline_jobs")
+def claimed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job table after a worker claimed what it saw as queued; rows seen with a stale number of attempts are not its own."""
+    rows = table(spark, sf_dir, "pipeline_jobs").select("id", "status", "attempts")
+    queued = rows.where("status = 'queued'").select("id", F.lit("queued").alias("expected"), F.when(F.coalesce("attempts", F.lit(0)) <= 1, F.col("attempts")).otherwise(F.col("attempts") - 1).alias("attempts"))
+    return jobs.claimed(rows, queued)
+
+
+@Q.add(f"WITH j AS (SELECT *, {_INSTANT_SQL} AS moment FROM pipeline_jobs) SELECT id FROM j WHERE status = 'queued' AND started_at IS NULL AND moment < (SELECT max(moment) FROM j) - INTERVAL 1 HOUR")
+def unsent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queued jobs that nobody took, to be handed over again."""
+    return jobs.never_sent(table(spark, sf_dir, "pipeline_jobs").select("id", "status", "queued_at", "started_at")).select("id")
+
+
+@Q.add(f"SELECT id || ':replay' AS id, 'queued' AS status, 0 AS attempts, CAST(NULL AS VARCHAR) AS error, semantic_key FROM pipeline_jobs WHERE status = 'failed' AND NOT coalesce(regexp_matches(error, '{jobs.TRANSIENT}'), false)")
+def replayed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters queued anew."""
+    rows = table(spark, sf_dir, "pipeline_jobs").select("id", "status", "attempts", "error", "semantic_key")
+    return jobs.replayed(jobs.dead_letters(rows)[1])
+
+
+@Q.add(
+    """WITH c AS (SELECT id, list_transform(list_filter(string_split(semantic_key, ''), lambda c: c <> ''), lambda c: CAST(ascii(c) AS BIGINT)) AS codes FROM pipeline_jobs WHERE semantic_key IS NOT NULL)
+SELECT id, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::BIGINT, codes), lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0') AS fnv FROM c"""
+)
+def key_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FNV-1a of every message identifier, as the job table's keys are named."""
+    rows = table(spark, sf_dir, "pipeline_jobs").where("semantic_key IS NOT NULL")
+    return rows.select("id", jobs.fnv1a(F.col("semantic_key")).alias("fnv"))
+
+
+@Q.add("SELECT run_id, count(*) AS batches, CAST(sum(CAST(json_extract(payload_json, '$.size') AS BIGINT)) AS BIGINT) AS size FROM pipeline_jobs WHERE status = 'succeeded' AND run_id IS NOT NULL AND json_extract(payload_json, '$.size') IS NOT NULL GROUP BY 1")
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of a run's jobs put together from their JSON."""
+    rows = table(spark, sf_dir, "pipeline_jobs").where("status = 'succeeded' AND run_id IS NOT NULL")
+    parsed = rows.select("run_id", F.from_json("payload_json", "size long")["size"].alias("size")).where("size IS NOT NULL")
+    return parsed.groupBy("run_id").agg(F.count(F.lit(1)).alias("batches"), F.sum("size").alias("size"))
+
+
 QUERIES, ORACLES = Q.functions, Q.sql

@@ -38,6 +38,16 @@ def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", lexical.highlight(F.col("full_text_plain"), ["compass"]).alias("highlight"))
 
 
+@Q.add(
+    """WITH h AS (SELECT id, replace(replace(full_text_plain, 'compass', '<mark>compass</mark>'), chr(39), '"') AS t FROM issues WHERE status = 'active' AND full_text_plain IS NOT NULL)
+SELECT id, replace(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '&lt;mark&gt;', '<mark>'), '&lt;/mark&gt;', '</mark>') AS shown FROM h"""
+)
+def escaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a word marked, escaped for a page but for the marks."""
+    marked = F.replace(F.replace(F.col("full_text_plain"), F.lit("compass"), F.lit("<mark>compass</mark>")), F.lit("'"), F.lit('"'))
+    return _issues(spark, sf_dir, "full_text_plain").where("full_text_plain IS NOT NULL").select("id", T.escaped(marked, keep_marks=True).alias("shown"))
+
+
 @Q.add()
 def highlighted_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The section that each issue's highlight comes from."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colophon.functions import dictionaries as D
@@ -76,7 +77,16 @@ def heuristic_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTITIES = {"night shift": ["night shift"], "archive crew": ["archive crew", "the archive crew"], "working maps": ["working maps", "working map"]}
 
 
-@Q.add()
+def _hits_sql(alias: str) -> str:
+    n = len(alias)
+    return f"len(list_filter(generate_series(1, length(t) - {n - 1}), lambda i: substring(t, i, {n}) = '{alias}' AND NOT regexp_matches(substring(' ' || t, i, 1), '[a-z0-9]') AND NOT regexp_matches(substring(t, i + {n}, 1), '[a-z0-9]')))"
+
+
+@Q.add(
+    "WITH d AS (SELECT id AS doc_id, lower(coalesce(full_text_plain, '')) AS t FROM issues WHERE status = 'active'), c AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS keyword, CAST({' + '.join(map(_hits_sql, aliases))} AS BIGINT) AS occurrences FROM d WHERE contains(t, '{min(aliases, key=len)}')" for name, aliases in ENTITIES.items())
+    + ") SELECT * FROM c WHERE occurrences > 0"
+)
 def known_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.known_entities(_active(spark, sf_dir), "id", "full_text_plain", ENTITIES)
 
@@ -417,4 +427,43 @@ def topic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(s, "keyword", "full").agg(F.count("e").alias("extracted"), F.count("s").alias("stored"), F.count(F.when(F.col("e").isNotNull() & F.col("s").isNotNull(), 1)).alias("both_"))
 
 
+@Q.add(
+    """WITH e AS (SELECT DISTINCT issue_id, keyword FROM issue_topics WHERE keyword IS NOT NULL AND suppression_reason IS NULL QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY score NULLS LAST, keyword) <= 25),
+s AS (SELECT DISTINCT issue_id, keyword FROM issue_topics WHERE keyword IS NOT NULL AND eligibility_status = 'public_topic')
+SELECT issue_id, count(e.keyword) AS extracted, count(s.keyword) AS stored, count(CASE WHEN e.keyword IS NOT NULL AND s.keyword IS NOT NULL THEN 1 END) AS both_,
+round(coalesce(count(CASE WHEN e.keyword IS NOT NULL AND s.keyword IS NOT NULL THEN 1 END) / nullif(CAST(count(e.keyword) AS DOUBLE), 0), 0.0) - coalesce(count(CASE WHEN e.keyword IS NOT NULL AND s.keyword IS NOT NULL THEN 1 END) / nullif(CAST(count(s.keyword) AS DOUBLE), 0), 0.0), 6) AS delta
+FROM e FULL JOIN s USING (issue_id, keyword) WHERE issue_id IS NOT NULL GROUP BY 1"""
+)
+def issue_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each issue, how far its best topics and its public ones agree, and the difference of both precisions."""
+    rows = _topics(spark, sf_dir).where("keyword IS NOT NULL")
+    place = F.row_number().over(W.partitionBy("issue_id").orderBy(F.col("score").asc_nulls_last(), "keyword"))
+    best = rows.where("suppression_reason IS NULL").select("issue_id", "keyword", "score").distinct().withColumn("p", place).where("p <= 25").select("issue_id", "keyword").distinct()
+    public = rows.where("eligibility_status = 'public_topic'").select("issue_id", "keyword").distinct()
+    return topics.audited(best, public).withColumn("delta", F.round("delta", 6))
+
+
+@Q.add(
+    """SELECT keyword, doc_frequency, CASE WHEN length(keyword) < 4 THEN 'short' WHEN doc_frequency IS NULL OR doc_frequency < 3 THEN 'rare' WHEN coalesce(topic_type, 'unknown') = 'unknown' THEN 'untyped' WHEN coalesce(distinctiveness, 0) < 0.5 THEN 'common' END AS suspicion FROM corpus_topics
+WHERE eligibility_status = 'public_topic' AND (length(keyword) < 4 OR doc_frequency IS NULL OR doc_frequency < 3 OR coalesce(topic_type, 'unknown') = 'unknown' OR coalesce(distinctiveness, 0) < 0.5)"""
+)
+def suspicious_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public topics that look wrong, with the first reason why."""
+    rows = table(spark, sf_dir, "corpus_topics").where("eligibility_status = 'public_topic'")
+    why = F.when(F.length("keyword") < 4, "short").when(F.col("doc_frequency").isNull() | (F.col("doc_frequency") < 3), "rare")
+    why = why.when(F.coalesce("topic_type", F.lit("unknown")) == "unknown", "untyped").when(F.coalesce("distinctiveness", F.lit(0.0)) < 0.5, "common")
+    return rows.select("keyword", "doc_frequency", why.alias("suspicion")).where("suspicion IS NOT NULL")
+
+
+_SORTS = {"frequency": "doc_frequency DESC NULLS LAST, keyword", "score": "aggregate_score DESC NULLS LAST, keyword", "burst": "burst_score DESC NULLS LAST, keyword", "name": "keyword"}
+
+
+@Q.add(" UNION ALL ".join(f"SELECT '{name}' AS sort, keyword, row_number() OVER (ORDER BY {order}) AS place FROM corpus_topics QUALIFY place <= 20" for name, order in _SORTS.items()))
+def topic_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty topics in each of the four orders."""
+    rows = table(spark, sf_dir, "corpus_topics").select("keyword", "doc_frequency", "aggregate_score", "burst_score")
+    found = [topics.sorted_page(rows, name, 20).select(F.lit(name).alias("sort"), "keyword", "place") for name in _SORTS]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 QUERIES, ORACLES = Q.functions, Q.sql

@@ -9,14 +9,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from colophon.operators.messages import instant, message_key
+from colophon.operators.skew import numbered_within
 
 # Words of errors that pass by themselves.
 TRANSIENT = r"(?i)sqlite_busy|database is locked|\b429\b|\b503\b|rate limit|too many requests|temporarily unavailable|network|storage caused object to be reset|reset because its code was updated"
+#: How long a message's state is remembered.
+REMEMBER_MS = 7 * 24 * 3600 * 1000
 ATTEMPTS, BASE_MS, JITTER_MS, DEFER_SECONDS = 5, 25, 25, 60
 
 
@@ -68,11 +70,13 @@ def job_changes(jobs: DataFrame) -> DataFrame:
     return jobs.select(message_key(F.col("semantic_key")).alias("key"), "status", F.col("attempts").cast("int").alias("attempts"), instant(F.col("queued_at")).alias("changed_at"))
 
 
-def stateful_claims(changes: DataFrame) -> DataFrame:
+def stateful_claims(changes: DataFrame, remember_ms: int | None = None) -> DataFrame:
     """Stream of accepted transitions (key, status, attempts): a custom stateful operator.
 
     queued may become processing, processing may become succeeded, failed or deferred, failed and deferred may be queued again;
-    nothing follows success.  Any other change is refused and not emitted.  State is one status per key.  Arrow hands a key's
+    nothing follows success.  Any other change is refused and not emitted.  State is one status per key, forgotten once no
+    change came for ``remember_ms`` (``REMEMBER_MS`` suits a stream that never ends).  A run that takes what is there and stops must pass
+    None and forget nothing, as a query that waits for timeouts never has nothing left to do.  Arrow hands a key's
     rows over in slices, so the key's whole micro-batch is kept, at some 17 bytes a row, and sorted by time before it is folded.
     """
     allowed = {None: {"queued", "processing", "succeeded", "failed", "deferred"}, "queued": {"processing", "succeeded", "failed", "deferred"}, "processing": {"succeeded", "failed", "deferred"}, "failed": {"queued", "processing", "succeeded"}, "deferred": {"queued", "processing", "succeeded"}, "succeeded": set()}
@@ -81,6 +85,9 @@ def stateful_claims(changes: DataFrame) -> DataFrame:
     codes = {name: i for i, name in enumerate(names)}
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         status = state.get[0] if state.exists else None
         slices = []
         for batch in batches:
@@ -98,9 +105,12 @@ def stateful_claims(changes: DataFrame) -> DataFrame:
                 out.append((key[0], status, 0 if np.isnan(attempts[i]) else int(attempts[i])))
         if status is not None:
             state.update((status,))
+            if remember_ms is not None:
+                state.setTimeoutDuration(remember_ms)
         yield pd.DataFrame(out, columns=["key", "status", "attempts"])
 
-    return changes.where("key IS NOT NULL").groupBy("key").applyInPandasWithState(run, "key string, status string, attempts int", "status string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if remember_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return changes.where("key IS NOT NULL").groupBy("key").applyInPandasWithState(run, "key string, status string, attempts int", "status string", "append", timeout)
 
 
 def retry_class(error: Column, attempts: Column, most: int = 3) -> Column:
@@ -143,5 +153,49 @@ def over_limit(rows: DataFrame, user: str, at: str, most: int, width: str = "60
 
 
 def paced(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
-    """``rows`` with ``batch``: numbers of ``size`` rows within ``group``."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(group).orderBy(order)) - 1) / size).cast("long"))
+    """``rows`` with ``batch``: numbers of ``size`` rows within ``group``, which may hold any part of all rows."""
+    numbered = numbered_within(rows, [group], [order], "_place")
+    return numbered.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")
+
+
+def fnv1a(text: Column) -> Column:
+    """32-bit FNV-1a over the characters' codes, as eight hexadecimal digits; null of null."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii)
+    step = lambda h, c: ((h.bitwiseXOR(c.cast("long"))) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    value = F.aggregate(codes, F.lit(2166136261).cast("long"), step)
+    return F.when(text.isNotNull(), F.lower(F.lpad(F.hex(value), 8, "0")))
+
+
+def ready_to_finish(rows: DataFrame, run: str = "run_id", final_kind: str = "topic-finalize-rebuild") -> DataFrame:
+    """(run): runs that have jobs, none of them open, and no finishing job of their own yet: two anti joins."""
+    open_jobs = rows.where(F.col("status").isin("queued", "processing", "deferred") & (F.col("kind") != final_kind)).select(run).distinct()
+    finishing = rows.where(F.col("kind") == final_kind).select(run).distinct()
+    runs = rows.where(F.col(run).isNotNull()).select(run).distinct()
+    return runs.join(open_jobs, run, "left_anti").join(finishing, run, "left_anti")
+
+
+def claimed(table: DataFrame, claims: DataFrame) -> DataFrame:
+    """``table`` (id, status, attempts, ...) after compare-and-set: a row becomes processing, with one attempt more, if a claim
+    (id, expected, attempts) saw the status and attempts that it still has; of several claims one counts.  For use within
+    ``foreachBatch``, where table and claims are read at one point."""
+    seen = claims.select(F.col("id").alias("_id"), F.col("expected").alias("_expected"), F.col("attempts").alias("_attempts")).distinct()
+    hit = (F.col("id") == F.col("_id")) & (F.col("status") == F.col("_expected")) & F.col("attempts").eqNullSafe(F.col("_attempts"))
+    won = F.col("_id").isNotNull()
+    joined = table.join(seen, hit, "left")
+    new = {"status": F.when(won, F.lit("processing")).otherwise(F.col("status")), "attempts": F.when(won, F.coalesce("attempts", F.lit(0)) + 1).otherwise(F.col("attempts"))}
+    return joined.withColumns(new).select(table.columns)
+
+
+def never_sent(rows: DataFrame, least_age: str = "1 hour") -> DataFrame:
+    """Rows of the outbox that were written but not handed over: queued, never started, and older than the newest row by
+    ``least_age``."""
+    at = rows.withColumn("_at", instant(F.col("queued_at")))
+    newest = at.agg(F.max("_at").alias("_newest"))
+    waiting = at.where("status = 'queued' AND started_at IS NULL AND _at IS NOT NULL").join(F.broadcast(newest))
+    return waiting.where(F.col("_at") < F.col("_newest") - F.expr(f"INTERVAL {least_age}")).drop("_at", "_newest")
+
+
+def replayed(letters: DataFrame) -> DataFrame:
+    """Dead letters as jobs queued anew: no attempts, error or times of the earlier life, and the identifier of a replay."""
+    blank = {c: F.lit(None).cast(letters.schema[c].dataType) for c in ("error", "started_at", "completed_at") if c in letters.columns}
+    return letters.withColumns({"id": F.concat("id", F.lit(":replay")), "status": F.lit("queued"), "attempts": F.lit(0), **blank}).drop("verdict")

@@ -103,7 +103,7 @@ def test_claims_do_not_depend_on_slices(spark, tmp_path):
     before = spark.conf.get(name)
     spark.conf.set(name, 2)
     try:
-        claims = jobs.stateful_claims(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"))
+        claims = jobs.stateful_claims(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), remember_ms=None)
         jobs.run_available(claims, lambda batch, n: got.extend(map(tuple, batch.collect())), f"{tmp_path}/state")
     finally:
         spark.conf.set(name, before)
