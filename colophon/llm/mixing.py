@@ -102,3 +102,20 @@ def share_report(chosen: DataFrame, plans: list[SourcePlan]) -> DataFrame:
     whole = joined.agg(F.sum("tokens").alias("all_tokens"))
     total = whole.first()[0] or 0
     return joined.withColumn("actual_share", F.round(F.col("tokens") / F.lit(float(max(total, 1))), 6))
+
+
+def violations(chosen: DataFrame, plans: list[SourcePlan], documents: DataFrame, doc_id: str, source: str) -> DataFrame:
+    """(source, problem): what a mixture must not hold, so none for a sound one.
+
+    ``foreign``: documents that the source doesn't hold, or of no target; ``repeated``: a document used more than
+    ``max_repeats`` times, or a copy's number twice.
+    """
+    spark = chosen.sparkSession
+    schema = "source string, copies double, max_repeats int"
+    targets = F.broadcast(spark.createDataFrame([(p.source, p.copies, p.max_repeats) for p in plans], schema))
+    own = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source")).distinct()
+    uses = chosen.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("uses"), F.max("copy_no").alias("last"))
+    foreign = uses.join(own, ["doc_id", "source"], "left_anti").select("source", F.lit("foreign").alias("problem"))
+    limits = uses.join(targets, "source", "left")
+    repeated = limits.where("max_repeats IS NULL OR uses > max_repeats OR uses <> last").select("source", F.lit("repeated").alias("problem"))
+    return foreign.unionByName(repeated).distinct()

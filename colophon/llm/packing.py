@@ -176,3 +176,27 @@ def fill_report(packed: DataFrame) -> DataFrame:
     each = packed.groupBy("spec_id", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("tokens"))
     totals = each.groupBy("spec_id", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
     return totals.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def violations(packed: DataFrame, documents: DataFrame, doc_id: str) -> DataFrame:
+    """(spec_id, problem, name): what a packing must not hold, so none for a sound one.
+
+    ``overfull``: a container above its capacity; ``split``: a document in several pieces that fits into one; ``gap``: pieces
+    that don't follow each other; ``uneven``: a document of different size for different capacities; ``missing`` and
+    ``invented``: documents without a row, and rows without a document, by capacity.
+    """
+    name = F.col("doc_id").cast("string")
+    full = packed.groupBy("spec_id", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("n"))
+    full = full.where("n > capacity_tokens").select("spec_id", F.lit("overfull").alias("problem"), F.col("container_id").alias("name"))
+    each = packed.where("doc_id IS NOT NULL").groupBy("spec_id", "capacity_tokens", "doc_id").agg(
+        F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("last"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end")
+    )
+    split = each.where("n <= capacity_tokens AND pieces > 1").select("spec_id", F.lit("split").alias("problem"), name.alias("name"))
+    gap = each.where("pieces <> last + 1 OR end <> n").select("spec_id", F.lit("gap").alias("problem"), name.alias("name"))
+    uneven = each.groupBy("doc_id").agg(F.min("n").alias("a"), F.max("n").alias("b")).where("a <> b").select(F.lit(None).cast("int").alias("spec_id"), F.lit("uneven").alias("problem"), name.alias("name"))
+    known = documents.select(F.col(doc_id).alias("doc_id"), F.lit(True).alias("_given")).where("doc_id IS NOT NULL").distinct()
+    wanted = known.join(F.broadcast(packed.select("spec_id").distinct()))
+    paired = each.select("spec_id", "doc_id", F.lit(True).alias("_packed")).join(wanted, ["spec_id", "doc_id"], "full")
+    problem = F.when(F.col("_packed").isNull(), "missing").when(F.col("_given").isNull(), "invented")
+    odd = paired.select("spec_id", problem.alias("problem"), name.alias("name")).where("problem IS NOT NULL")
+    return full.unionByName(split).unionByName(gap).unionByName(uneven).unionByName(odd)

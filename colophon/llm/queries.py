@@ -241,12 +241,25 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir))
 
 
+@query
+def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the packing must not hold: rows here are faults."""
+    return packing.violations(_packed(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id")
+
+
+ORACLES["p8_violations"] = "SELECT CAST(NULL AS INTEGER) AS spec_id, '' AS problem, '' AS name WHERE false"
+
+
 # 9. Mixing sources to target weights
 
 
-def _mixed(spark: SparkSession, sf_dir: str):
+def _sized(spark: SparkSession, sf_dir: str):
     targets = [(r[0], r[1], r[2]) for r in table(spark, sf_dir, "mix_targets").select("source", "target_share", "max_repeats").collect()]  # a fixed table of twelve rows
-    sized = mixing.sized_documents(table(spark, sf_dir, "documents"), "doc_id", "source", "text", [t[0] for t in targets])
+    return targets, mixing.sized_documents(table(spark, sf_dir, "documents"), "doc_id", "source", "text", [t[0] for t in targets])
+
+
+def _mixed(spark: SparkSession, sf_dir: str):
+    targets, sized = _sized(spark, sf_dir)
     return mixing.mixture(sized, targets)
 
 
@@ -260,3 +273,23 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source."""
     return mixing.share_report(*_mixed(spark, sf_dir))
+
+
+@query
+def p9_scarce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mixture as large as half of all documents: sources too small for their part give all they may and fall short."""
+    targets, sized = _sized(spark, sf_dir)
+    total = sized.agg(F.sum("n_tokens")).first()[0] or 0
+    chosen, plans = mixing.mixture(sized, targets, total_tokens=0.5 * total)
+    report = mixing.share_report(chosen, plans)
+    short = (F.col("available_tokens") > 0) & (F.col("target_share") - F.col("actual_share") > 0.001)
+    return report.withColumn("falls_short", short)
+
+
+@query
+def p9_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mixture must not hold: rows here are faults."""
+    return mixing.violations(*_mixed(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "source")
+
+
+ORACLES["p9_violations"] = "SELECT '' AS source, '' AS problem WHERE false"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colophon.functions.web import host_of
-from colophon.operators.skew import HOT_ROWS, MAX_HOT, skew_join
+from colophon.operators.skew import HOT_ROWS, MAX_HOT, SALTS, skew_join
 
 WILD = "<*>"
 DEPTH = 3
@@ -114,11 +114,13 @@ def recurring_forms(
     least_share: float = 0.1,
     similar: float = SIMILAR,
     open_templates: int = OPEN,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(host, form, documents): compared forms in at least ``least_documents`` documents and ``least_share`` of the host's.
 
     Distinct forms are counted per host (a form counts once per document) and parsed into templates, each partition with a
-    tree of its own; the partitions' templates are merged leaf by leaf.  A template covers at least the documents of each
+    tree of its own; the partitions' templates are merged leaf by leaf, parts of a leaf first, so that a hot host's leaves are
+    small when they meet.  A template covers at least the documents of each
     of its forms, so only forms of templates that cover enough documents are held against the exact limits.
     """
     hosts = lines.where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
@@ -127,10 +129,13 @@ def recurring_forms(
     counted = each.groupBy("host", "form").agg(F.count(F.lit(1)).alias("documents"))
     schema = "host string, leaf string, template string, documents long, forms array<string>"
     partial = counted.mapInPandas(_templates(least_documents, similar, open_templates, False), schema)
-    placed = partial.repartition("host", "leaf").sortWithinPartitions("host", "leaf", "template")
-    merged = placed.mapInPandas(_templates(least_documents, similar, open_templates, True), schema)
+    merge = _templates(least_documents, similar, open_templates, True)
+    spread = partial.repartition("host", "leaf", F.pmod(F.xxhash64("template"), F.lit(SALTS))).sortWithinPartitions("host", "leaf", "template")
+    placed = spread.mapInPandas(merge, schema).repartition("host", "leaf").sortWithinPartitions("host", "leaf", "template")
+    merged = placed.mapInPandas(merge, schema)
     limit = F.greatest(F.lit(least_documents), F.col("host_documents") * F.lit(least_share))
-    covering = merged.where((F.col("documents") >= least_documents) & (F.size("forms") > 0)).join(hosts, "host")
+    large = hosts.where(F.col("host_documents") >= hot_rows).orderBy(F.desc("host_documents"), "host").limit(MAX_HOT).select("host")
+    covering = skew_join(merged.where((F.col("documents") >= least_documents) & (F.size("forms") > 0)), hosts, ["host"], "inner", ["leaf", "template"], large)
     candidates = covering.where(F.col("documents") >= limit).select("host", F.explode("forms").alias("form"), "host_documents")
     exact = candidates.join(counted.where(F.col("documents") >= least_documents), ["host", "form"])
     return exact.where(F.col("documents") >= limit).select("host", "form", "documents")
@@ -151,7 +156,7 @@ def recurring_lines(
     never cases.  The hottest forms are salted.  Empty tables give an empty result.
     """
     lines = document_lines(documents, doc_id, url, text)
-    frequent = recurring_forms(lines, least_documents, least_share)
+    frequent = recurring_forms(lines, least_documents, least_share, hot_rows=hot_rows)
     each = lines.where(F.col("host").isNotNull()).select("doc_id", "host", F.posexplode("lines").alias("line_no", "line"))
     each = each.select("doc_id", "host", (F.col("line_no") + 1).cast("long").alias("line_no"), compared_form(F.col("line")).alias("form"))
     hot = frequent.where(F.col("documents") >= hot_rows).orderBy(F.desc("documents"), "host", "form").limit(MAX_HOT)

@@ -36,3 +36,15 @@ def test_found_columns(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_query_runs(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() > 0
+
+
+def test_violations_are_seen(spark):
+    documents = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, source string")
+    packed = [(1, 10, "c1", 1, 0, 0, 6), (1, 10, "c1", 2, 0, 0, 6), (1, 10, "c2", 9, 0, 0, 1), (2, 20, "c3", 1, 0, 0, 3), (2, 20, "c4", 1, 1, 3, 3), (2, 20, "c4", 2, 0, 0, 6), (2, 20, "c4", 3, 1, 1, 1)]
+    rows = spark.createDataFrame(packed, "spec_id int, capacity_tokens int, container_id string, doc_id long, piece int, first_token long, n_tokens long")
+    assert sorted(map(tuple, queries.packing.violations(rows, documents, "doc_id").collect()), key=str) == sorted(
+        [(1, "overfull", "c1"), (2, "split", "1"), (2, "gap", "3"), (1, "missing", "3"), (1, "invented", "9")], key=str
+    )
+    plans = queries.mixing.plan_mixture([("a", 1.0, 2)], {"a": 9}, seed=0)
+    chosen = spark.createDataFrame([(1, "a", 1, 3), (1, "a", 2, 3), (1, "a", 3, 3), (3, "a", 1, 3), (2, "a", 1, 3)], "doc_id long, source string, copy_no int, n_tokens long")
+    assert sorted(map(tuple, queries.mixing.violations(chosen, plans, documents, "doc_id", "source").collect())) == [("a", "foreign"), ("a", "repeated")]
