@@ -77,10 +77,10 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.add()
 def job_claims_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted transitions of every message, from the stateful operator."""
+    """Accepted transitions of every message, folded batch by batch."""
     out = _folder(spark, "claims")
-    stream = jobs.stateful_claims(jobs.job_changes(jobs.events(spark, sf_dir, "pipeline_jobs")), remember_ms=None)
-    jobs.run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}"), f"{out}/state")
+    stream = jobs.job_changes(jobs.events(spark, sf_dir, "pipeline_jobs"))
+    jobs.run_available(stream, lambda batch, n: jobs.write_accepted(batch, n, f"{out}/rows"), f"{out}/state")
     return spark.read.schema("key string, status string, attempts int, batch int").parquet(f"{out}/rows").select("key", "status", "attempts")
 
 

@@ -110,6 +110,30 @@ def test_claims_do_not_depend_on_slices(spark, tmp_path):
     assert got == [("k", s, i) for i, s in enumerate(steps) if s != "unknown"]
 
 
+def test_claims_of_a_table_need_no_python_call_per_key(spark, tmp_path, monkeypatch):
+    from random import Random
+
+    from colophon.plans import jobs as plans
+
+    random, data, rows = Random(1), tmp_path / "pipeline_jobs.parquet", []
+    for _ in range(1200):
+        at = random.choice([None, *(f"2024-01-01 00:0{i}:00" for i in range(6))])
+        rows.append((f"k{random.randrange(150)}", random.choice([*jobs.STATUSES[:4] * 4, "succeeded", "unknown", None]), random.choice([None, 0, 1]), at))
+    rows += [(None, "queued", 0, None)] + [(key, s, 0, "2024-01-01 00:00:00") for key, steps in (("x", ["queued", "processing"]), ("y", ["processing", "queued"])) for s in steps]
+    # One file for each row group; the stream takes 20 files at a time, by their time.
+    for i in range(45):
+        spark.createDataFrame(rows[i::45], "semantic_key string, status string, attempts int, queued_at string").coalesce(1).write.mode("append").parquet(str(data))
+    streams, run = [], jobs.run_available
+    monkeypatch.setattr(jobs, "run_available", lambda stream, *rest: (streams.append(stream._jdf.queryExecution().logical().toString()), run(stream, *rest)))
+    got = sorted(map(tuple, plans.job_claims_stream(spark, str(tmp_path)).collect()))
+    assert len(streams) == 1 and "Pandas" not in streams[0]
+    assert [g for g in got if g[0] in "xy"] == [(k, s, 0) for k in "xy" for s in ("processing", "queued")]
+    claims = []
+    stream = jobs.stateful_claims(jobs.job_changes(jobs.events(spark, str(tmp_path), "pipeline_jobs")))
+    run(stream, lambda batch, n: claims.extend((n, *r) for r in batch.collect()), f"{tmp_path}/state")
+    assert got == sorted(c[1:] for c in claims) and {c[0] for c in claims} == {0, 1, 2}
+
+
 def test_retries():
     calls = []
 
