@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -280,28 +281,69 @@ def nested_fragments(keywords: DataFrame, topics: DataFrame, least_overlap: floa
     return short.join(shared, ["keyword", "longer"]).where(F.col("both") >= F.lit(least_overlap) * F.col("n")).select("keyword").distinct()
 
 
-def similar_spellings(keywords: DataFrame, least: float = 0.85) -> DataFrame:
-    """(a, b, dice), a < b: keywords whose sets of character pairs have a Dice coefficient of at least ``least``.
+#: Pairs of characters whose frequencies are told apart.
+COMMON_PAIRS = 1 << 16
+
+
+def _joint(least: float, most: int = 5, rows: int = 72, rows_of_two: int = 400) -> list[int]:
+    """How many common pairs of characters two keywords are joined upon, by the size of the smaller set from 1 on (1 beyond
+    the list): as many as keep the combinations of the larger set below ``rows``, or below ``rows_of_two`` for two."""
+    found: list[int] = []
+    for size in range(1, 200):
+        larger = math.floor(size * (2 - least) / least + 1e-9)
+        missing = larger - math.ceil(least / (2 - least) * larger - 1e-9)  # of the larger set, at most
+        fits = [n for n in range(2, most + 1) if math.comb(missing + n, n) <= (rows if n > 2 else rows_of_two)]
+        found.append(max(1, min(max(fits, default=1), math.ceil(least * size - 1e-9))))
+    return found
 
-    Exact without comparing all: of each set only the rarest pairs that any partner must share are joined upon.
+
+def spelling_signatures(keywords: DataFrame, least: float) -> DataFrame:
+    """(keyword, size, mask, met): numbers that two keywords have in common if their sets of character pairs are alike.
+
+    With the pairs of a set in order of rarity, of which ``missing`` at most aren't common, two sets alike share n pairs among
+    the first ``missing`` + n of each; so ``met`` is all combinations of n of them.  One pair alone is in too many keywords:
+    characters are few, however many keywords there are.  All but the ``COMMON_PAIRS`` most frequent pairs count as equally
+    rare, so that what is broadcast is bounded; any order would do.
     """
     sets = keywords.select("keyword").distinct().withColumn("pairs", T.character_bigrams(F.lower("keyword")))
-    sets = sets.withColumn("mask", F.expr("aggregate(pairs, 0L, (m, p) -> m | shiftleft(1L, cast(pmod(xxhash64(p), 64) as int)))"))
     counts = sets.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    each = sets.select("keyword", F.size("pairs").alias("size"), F.explode("pairs").alias("pair")).join(counts, "pair")
-    place = F.row_number().over(W.partitionBy("keyword").orderBy("n", "pair"))
-    needed = F.ceil(F.lit(least / (2 - least)) * F.col("size") - 1e-9)  # common pairs with the smallest partner allowed
-    prefix = each.withColumn("place", place).where(F.col("place") <= F.col("size") - needed + 1)
-    prefix = prefix.join(sets, "keyword").select(F.col("keyword").alias("a"), "pair", F.col("place").alias("at_a"), F.col("size").alias("size_a"), F.col("pairs").alias("pa"), F.col("mask").alias("mask_a"))
-    other = prefix.select(F.col("a").alias("b"), "pair", F.col("at_a").alias("at_b"), F.col("size_a").alias("size_b"), F.col("pa").alias("pb"), F.col("mask_a").alias("mask_b"))
-    shared = F.lit(least / 2) * (F.col("size_a") + F.col("size_b")) - 1e-9  # common pairs that reach the coefficient
-    possible = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))  # if this is the first common one
-    candidates = prefix.join(other, "pair").where((F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= shared) & (possible >= shared))
+    frequent = F.broadcast(counts.orderBy(F.desc("n"), "pair").limit(COMMON_PAIRS))
+    each = sets.select("keyword", F.explode("pairs").alias("pair")).join(frequent, "pair", "left").groupBy("keyword")  # as distinct left them: no shuffle
+    rarest = each.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair"))).alias("pairs")).select("keyword", F.size("pairs").alias("size"), F.transform("pairs", lambda x: F.xxhash64(x["pair"])).alias("pairs"))
+    rarest = rarest.withColumn("mask", F.expr("coalesce(aggregate(pairs, 0L, (m, p) -> m | shiftleft(1L, cast(pmod(p, 64) as int))), 0L)"))
+    rarest = rarest.withColumn("needed", F.ceil(F.lit(least / (2 - least)) * F.col("size") - 1e-9).cast("int"))  # common pairs with the smallest partner allowed
+    joint = F.array(*[F.lit(n) for n in _joint(least)])
+    rarest = rarest.withColumn("joint", F.explode(F.array_distinct(F.transform(F.sequence("needed", "size"), lambda n: F.coalesce(F.get(joint, n - 1), F.lit(1))))))
+    rarest = rarest.withColumn("pairs", F.slice("pairs", 1, F.least(F.col("size"), F.col("size") - F.col("needed") + F.col("joint"))))
+    # The combinations are told by 40 bits of the exclusive or of hashes: of those that are in, or of all without those that
+    # are out.  What meets by chance is compared in vain.
+    spare = F.size("pairs") - F.col("joint")
+    steps, whole = F.least(F.col("joint"), spare), F.aggregate("pairs", F.lit(0).cast("long"), lambda h, p: h.bitwiseXOR(p))
+    rarest = rarest.withColumns({"steps": steps, "start": F.when(F.col("joint") <= spare, F.lit(0).cast("long")).otherwise(whole)})
+    met = F.expr(
+        """transform(aggregate(filter(sequence(0, steps), s -> s > 0), array(struct(0 AS i, start AS h)),
+        (acc, s) -> flatten(transform(acc, c -> transform(slice(pairs, c.i + 1, size(pairs)), (p, j) -> struct(c.i + j + 1 AS i, c.h ^ p AS h))))), c -> c.h & 1099511627775L)"""
+    )
+    return rarest.select("keyword", "size", "mask", F.explode(met).alias("met"))
+
+
+def similar_spellings(keywords: DataFrame, least: float = 0.85) -> DataFrame:
+    """(a, b, dice), a < b: keywords whose sets of character pairs have a Dice coefficient of at least ``least``.
+
+    Exact without comparing all: only keywords that share one of their ``spelling_signatures`` are compared.
+    """
+    met = spelling_signatures(keywords, least)
+    one, two = met.alias("one"), met.alias("two")
+    size_a, size_b, mask_a, mask_b = F.col("one.size"), F.col("two.size"), F.col("one.mask"), F.col("two.mask")
+    shared = F.lit(least / 2) * (size_a + size_b) - 1e-9  # common pairs that reach the coefficient
     # Each bit of one mask that the other lacks is a pair that isn't common.
-    alone = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
-    candidates = candidates.where((F.col("size_a") - alone("mask_a", "mask_b") >= shared) & (F.col("size_b") - alone("mask_b", "mask_a") >= shared))
-    scored = candidates.select("a", "b", T.dice(F.col("pa"), F.col("pb")).alias("dice"))
-    return scored.where(F.col("dice") >= least).distinct()
+    alone = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    candidates = one.join(two, F.col("one.met") == F.col("two.met")).where((F.col("one.keyword") < F.col("two.keyword")) & (F.least(size_a, size_b) >= shared))
+    candidates = candidates.where((size_a - alone(mask_a, mask_b) >= shared) & (size_b - alone(mask_b, mask_a) >= shared))
+    # Sums of sizes come from the aggregate, lest the coefficient be computed for all candidates below it.
+    candidates = candidates.groupBy(F.col("one.keyword").alias("a"), F.col("two.keyword").alias("b")).agg(F.max(size_a + size_b).alias("sizes"))
+    common = F.size(F.array_intersect(*[T.character_bigrams(F.lower(c)) for c in "ab"]))
+    return candidates.select("a", "b", (2.0 * common / F.col("sizes")).alias("dice")).where(F.col("dice") >= least)
 
 
 def clustered(corpus: DataFrame, aliases: DataFrame | None = None, least: float = 0.85, distinct_issues: DataFrame | None = None) -> DataFrame:

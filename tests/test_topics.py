@@ -74,6 +74,36 @@ def test_similar_spellings_against_all_pairs(spark):
     assert got == want and want
 
 
+def test_spellings_meet_on_several_pairs_at_once(spark):
+    from random import Random
+
+    import numpy as np
+
+    random = Random(3)
+    syllables = [c + v for c in "bdfghjklmnprstvz" for v in "aeio"]
+    word = lambda n: "".join(random.choices(syllables, k=n))
+    words = {f"{word(3)} {word(2)}s" for _ in range(4000)}
+    for n in (1, 2, 3, 8, 13, 20, 45, 100):  # longer ones meet on fewer pairs
+        for w in {word(n) for _ in range(12)}:
+            i = random.randrange(len(w))
+            words |= {w, w + "s", w[:i] + "u" + w[i:], w[:i] + w[i + 1 :], w[: len(w) * 3 // 4]}
+    words = sorted(w for w in words if len(w) > 1)
+    sets = [{w[i : i + 2] for i in range(len(w) - 1)} for w in words]
+    places = {p: i for i, p in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(words), len(places)), dtype="float32")
+    for row, s in zip(held, sets):
+        row[[places[p] for p in s]] = 1
+    sizes = held.sum(1)
+    dice = 2.0 * (held @ held.T) / (sizes[:, None] + sizes[None, :])
+    frame = spark.createDataFrame([(w,) for w in words], "keyword string")
+    for least in (0.85, 0.6):
+        want = {(words[a], words[b]) for a, b in zip(*np.nonzero(np.triu(dice >= least - 1e-6, 1)))}
+        got = [(r.a, r.b) for r in topics.similar_spellings(frame, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+    short = topics.spelling_signatures(frame.where("length(keyword) < 16"), 0.85).groupBy("met").count()
+    assert short.selectExpr("sum(count * (count - 1) / 2)").first()[0] < 2 * len(words)  # few more than are alike
+
+
 def test_clusters_sum_frequencies_or_count_issues_once(spark):
     corpus = spark.createDataFrame([("loose coupling", 3, 0.2), ("loose couplings", 2, 0.1), ("other", 1, 0.3)], "keyword string, doc_frequency long, avg_score double")
     got = {r.keyword: (r.doc_frequency, r.members) for r in topics.clustered(corpus).collect()}
